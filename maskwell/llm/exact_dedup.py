@@ -22,6 +22,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.metricsEnabled": "false",
 }
@@ -86,12 +87,13 @@ def exact_groups(docs: DataFrame, digest_chars: int = 64, max_files: int = MAX_F
 def _resolve(arrivals: DataFrame, path: str, max_files: int) -> DataFrame:
     groups, _ = write_table(keepers(arrivals, path, max_files), "dedup-groups")
     many = groups.where("group_size > 1").select("digest", F.col("best.row_key").alias("keep_key"))
-    # full bytes of each hit against those the locator of its group points to
-    hits = arrivals.select("digest", "row_key", "text").join(many, "digest")
-    first = arrivals.select(F.col("row_key").alias("keep_key"), F.col("text").alias("keep_text")).join(many.select("keep_key"), "keep_key")
+    # full bytes of each hit against those the locator of its group points to; only groups of several move on
+    hits, hit_path = write_table(arrivals.select("digest", "row_key", "text").join(many, "digest"), "dedup-hits")
+    first = hits.where("row_key = keep_key").select("digest", F.col("text").alias("keep_text"))
     same = normalised(F.col("text")).eqNullSafe(normalised(F.col("keep_text")))
-    differs = hits.where("row_key <> keep_key").join(first, "keep_key").where(~same).select("digest").distinct()
+    differs = hits.where("row_key <> keep_key").join(first, "digest").where(~same).select("digest").distinct()
     collided, _ = write_table(differs, "dedup-collided")
+    remove(arrivals.sparkSession, hit_path)
     small = arrivals.select("doc_id", "digest", "row_key", "n_points", "text_sha256")
     if collided.isEmpty():
         grouped = small.join(groups, "digest")
