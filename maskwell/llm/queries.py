@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, licenses, mixing, packing, simhash, tokenbin, tokens
+from . import chat, exact_dedup, langid, licenses, mixing, packing, sharding, simhash, tokenbin, tokens, topk
+from .common import run_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every document whose id is divisible by 50, by its whole text."""
+    return topk.search(_docs(spark, sf_dir), F.col("doc_id") % 50 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(_docs(spark, sf_dir)))
 
@@ -47,16 +53,24 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(rows.unionByName(planted)))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in four arrivals through the store, read back from the last version."""
+    store = sharding.ShardStore(spark, run_path(spark, "shards"))
+    store.append_arrivals(_docs(spark, sf_dir), F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4, 4)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = tokenbin.write(_docs(spark, sf_dir), tokens.tokenizer_path("byte_bpe_50k.json"))
     return tokenbin.read_back(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_simhash, op4_exact_dedup, op5_language_id, op6_license_scan, op7_best_fit_packing, op8_chat_formatting, op10_token_binary)}
+    return {f.__name__: f for f in (op1_topk_search, op2_mix_sources, op3_simhash, op4_exact_dedup, op5_language_id, op6_license_scan, op7_best_fit_packing, op8_chat_formatting, op9_sharding, op10_token_binary)}
 
 
 _SQL = {
+    "op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op4_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS k,

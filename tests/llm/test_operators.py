@@ -11,7 +11,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from maskwell.llm import chat, exact_dedup, langid, licenses, mixing, packing, simhash, tokenbin, tokens
+from pyspark.sql import functions as F
+
+from maskwell.llm import chat, exact_dedup, langid, licenses, mixing, packing, sharding, simhash, tokenbin, tokens, topk
 
 from .conftest import rows
 
@@ -381,3 +383,78 @@ def test_tokens_match_whole_texts():
         w = tokens.Words(tokens.tokenizer_path(name))
         texts = ["".join(rnd.choice("ab '12_\n\tsé.²ªºß’—日") for _ in range(rnd.randint(0, 60))) for _ in range(2000)] + ["x<|endoftext|>y", None]
         assert all(w.whole(t or "") == got for t, got in zip(texts, w.encode(texts), strict=True))
+
+
+# op1
+
+
+def brute_search(all_rows, k):
+    docs = [(i, topk.words(t)) for i, t in all_rows]
+    n, mean = len(docs), sum(sum(w.values()) for _, w in docs) / len(docs)
+    df = Counter(t for _, w in docs for t in w)
+    out = Counter()
+    for q, terms in docs:
+        if q is None or q % 2:
+            continue
+        scored = []
+        for i, w in docs:
+            length, s = sum(w.values()), 0.0
+            for t in sorted(terms):
+                if t in w:
+                    s += math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * terms[t] * (w[t] * 2.2 / (w[t] + 1.2 * (0.25 + 0.75 * length / mean)))
+            if s > 0:
+                scored.append((-round(s, 9), i is not None, i or 0))
+        for rank, (s, has, i) in enumerate(sorted(scored)[:k], 1):
+            out[(q, rank, i if has else None, -s)] += 1
+    return out
+
+
+@pytest.mark.parametrize(("k", "shard"), [(3, 2), (10, 10_000)])
+def test_search(docs, no_docs, k, shard):
+    got = topk.search(docs, F.col("doc_id") % 2 == 0, k, shard).collect()
+    assert Counter((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in got) == brute_search([(r[0], r[1]) for r in rows()], k)
+    assert topk.search(no_docs, F.col("doc_id") % 2 == 0).count() == 0
+    assert topk.search(docs, F.lit(False)).count() == 0
+
+
+def test_search_prunes_exactly(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = topk.search(docs, F.col("doc_id") % 2 == 0, 5, 150).collect()
+    assert Counter((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in got) == brute_search([tuple(r) for r in docs.select("doc_id", "text").collect()], 5)
+
+
+# op9
+
+
+def test_shards(spark, docs, no_docs):
+    from maskwell.llm.common import run_path
+
+    store = sharding.ShardStore(spark, run_path(spark, "test"), target_bytes=60_000, fanout=3)
+    assert store.read().count() == 0
+    store.append(no_docs)
+    for k in range(1, 5):
+        store.append(docs.repartition(k))
+    before = store.versions()
+    assert store.read().count() == 4 * docs.count()
+    assert store.compact() > 0
+    sizes = [s for _, s in store.manifest()["files"]]
+    tiers = Counter(store.tier(s) for s in sizes if store.tier(s) >= 0)
+    assert all(n < 3 for n in tiers.values())
+    assert Counter(map(tuple, store.read().collect())) == Counter({tuple(r): 4 * n for r, n in Counter(map(tuple, docs.collect())).items()})
+    # earlier versions stay readable until they are vacuumed
+    assert store.read(before[-1]).count() == 4 * docs.count()
+    assert store.vacuum() > 0 and store.read().count() == 4 * docs.count()
+    # a version is written once
+    now = store.manifest()
+    assert not store._commit(now["version"], now["schema"], [])
+    assert store.manifest() == now
+    with pytest.raises(ValueError):
+        store.append(docs.select("doc_id"))
+
+
+def test_shard_arrivals(spark, docs):
+    from maskwell.llm.common import run_path
+
+    store = sharding.ShardStore(spark, run_path(spark, "test"))
+    store.append_arrivals(docs, F.abs(F.coalesce("doc_id", F.lit(0))) % 3, 3)
+    assert Counter(map(tuple, store.read().collect())) == Counter(map(tuple, docs.collect()))
