@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from maskwell.llm import chat, exact_dedup, langid, licenses, mixing, packing, sharding, simhash, tokenbin, tokens, topk
 
+from maskwell.llm.common import write_table
+
 from .conftest import rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -458,3 +460,53 @@ def test_shard_arrivals(spark, docs):
     store = sharding.ShardStore(spark, run_path(spark, "test"))
     store.append_arrivals(docs, F.abs(F.coalesce("doc_id", F.lit(0))) % 3, 3)
     assert Counter(map(tuple, store.read().collect())) == Counter(map(tuple, docs.collect()))
+
+
+# pipeline
+
+
+def test_near_duplicates_by_similarity(spark, docs, no_docs):
+    rnd = random.Random(4)
+    base = [[f"w{rnd.randint(0, 10**6)}" for _ in range(400)] for _ in range(40)]
+    texts = {}
+    for k, w in enumerate(base):
+        texts[10 * k] = w
+        texts[10 * k + 1] = [*w[:200], "new", *w[201:]]  # similarity 0.97
+        texts[10 * k + 2] = w[:395]
+        texts[10 * k + 3] = [x if n % 10 else "z" + x for n, x in enumerate(w)]  # similarity of about a third
+    rows_ = [(i, " ".join(w), "en", "s", 1) for i, w in texts.items()] + [(None, " ".join(base[0]), None, None, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    for tile in (30, 8192):
+        got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, tile=tile).collect())
+        assert got == sorted([10 * k for k in range(40)] + [10 * k + 3 for k in range(40)])
+    out = simhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {1, 7, 11, 14}
+    assert simhash.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline as p
+
+    frame, seen = docs, []
+    for name, stage in p.STAGES:
+        out = stage(spark, frame, "")
+        if name != "pack":
+            assert out.columns == docs.columns
+        frame, _ = write_table(out, f"test-{name}")
+        seen.append(frame.count())
+    assert seen[0] < docs.count() and seen[1] < seen[0]
+    by = defaultdict(list)
+    for r in frame.collect():
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in by.values():
+        assert sum(n for _, n in spans) <= 4096 and [a for a, _ in sorted(spans)] == [sum(n for a, n in spans if a < b) for b, _ in sorted(spans)]
+    empty = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_on_a_table(spark):
+    import corpus_pipeline as p
+
+    assert p.run(spark, "/root/testdata/sf0.001").count() > 0
