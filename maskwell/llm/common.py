@@ -56,6 +56,12 @@ def temp_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, records: int = 512, size: str = "8m") -> None:
+    """Let Python workers of this session get few documents at a time: whole texts can be long."""
+    for k, v in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(records)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        spark.conf.set(k, v)
+
+
 def word_count(text: Column) -> Column:
     """Number of contract words; 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))), F.lit(0)).cast("long")

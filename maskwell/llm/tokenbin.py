@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import run_path, write_table
+from .common import run_path, small_batches, write_table
 
 END_ID, BLOCK = 0, 1024
 _HEAD = struct.Struct("<4sIIIQQQ")
@@ -142,6 +142,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK)
     """Encode ``docs`` (doc_id, text) and write the files. Returns a written table: doc_id, shard, nth (in its file),
     uri, in the files' order."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = run_path(spark, "tokens")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     bits = bits_for(tokens.load(path).vocabulary)
@@ -208,4 +209,4 @@ def read_back(index: DataFrame) -> DataFrame:
                 r.close()
 
     back = starts.mapInArrow(read, "shard int, nth long, start long, n_tokens long, ids binary")
-    return back.withColumn("ids_crc32", F.crc32("ids")).join(index.select("doc_id", "shard", "nth"), ["shard", "nth"]).select("doc_id", "start", "n_tokens", "ids", "ids_crc32")
+    return back.withColumn("ids_crc32", F.crc32("ids")).join(index.select("doc_id", "shard", "nth").hint("merge"), ["shard", "nth"]).select("doc_id", "start", "n_tokens", "ids", "ids_crc32")

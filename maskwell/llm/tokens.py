@@ -12,11 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
-#: Words remembered in a Python worker; all are forgotten when there are more.
-MAX_WORDS = 400_000
+#: Words remembered in a Python worker: two generations of so many; the older one goes when the younger is full.
+MAX_WORDS = 200_000
 _FAMILIAR = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ–—‘’“”…€]*")
 _LETTERS = r"[^\W\d_]"
 #: The splitters of the two supported kinds, for familiar characters.
@@ -25,6 +26,9 @@ _SPLIT = {
     "words": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTERS}+|\d|(?:[^\s\w]|_)+"),
 }
 _WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The byte-level alphabet: printable Latin-1 bytes as themselves, the others in order from U+0100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _LOADED: dict[str, Words] = {}
 
 
@@ -51,6 +55,7 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge, self.older = self.tokenizer.model.tokenize, {}
         kind = _kind(json.loads(self.tokenizer.to_str()))
         self.lower, self.split = kind == "words", _SPLIT[kind].findall if kind else None
 
@@ -59,24 +64,26 @@ class Words(dict):
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none), without special tokens."""
-        if len(self) > MAX_WORDS:
-            self.clear()
-        cut: list[list[str] | str] = []
-        new: set[str] = set()
+        out, get = [], self.__getitem__
         for text in texts:
             text = text or ""
             if self.split is None or _FAMILIAR.fullmatch(text) is None or any(s in text for s in self.special):
-                cut.append(text)
-                continue
-            words = self.split(text.lower() if self.lower else text)
-            cut.append(words)
-            new.update(words)
-        missing = [w for w in new if w not in self]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(e.ids, "<u4").tobytes()
-        return [self.whole(x) if isinstance(x, str) else b"".join(map(self.__getitem__, x)) for x in cut]
+                out.append(self.whole(text))
+            else:
+                out.append(b"".join(map(get, self.split(text.lower() if self.lower else text))))
+            if len(self) > MAX_WORDS:
+                self.older = dict(self)
+                self.clear()
+        return out
+
+    def __missing__(self, word: str) -> bytes:
+        # a word as the model's own splitter would give it: its bytes as the byte-level alphabet writes them
+        if (known := self.older.get(word)) is not None:
+            self[word] = known
+            return known
+        ids = [t.id for t in self.merge(word.encode("utf-8").decode("latin-1").translate(_BYTES))]
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
 
 def load(path: str) -> Words:
