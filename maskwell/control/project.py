@@ -109,13 +109,14 @@ class Project:
     def manifest(self) -> list[dict]:
         """Every file but keys, with role, digest and size; written to manifest.json."""
         out = []
-        for top, folders, names in sorted(os.walk(self.folder)):
+        for top, folders, names in os.walk(self.folder):
             folders[:] = sorted(d for d in folders if d != "keys")
             for n in sorted(names):
                 path = os.path.join(top, n)
                 file = os.path.relpath(path, self.folder)
                 if file not in ("manifest.json", "audit.jsonl"):
                     out.append({"file": file, "role": file.split(os.sep)[0] if os.sep in file else "project", "sha256": sha256_file(path), "bytes": os.path.getsize(path)})
+        out.sort(key=lambda e: e["file"])
         with open(self.path("manifest.json"), "w", encoding="utf-8") as f:
             json.dump(out, f, indent=1)
         return out
@@ -175,7 +176,11 @@ def file_slug(name: str) -> str:
 def keypair(spark: SparkSession) -> tuple[bytes, bytes]:
     """(private, public) in PKCS#8 and X.509."""
     pair = spark._jvm.java.security.KeyPairGenerator.getInstance("Ed25519").generateKeyPair()
-    return bytes(pair.getPrivate().getEncoded()), bytes(pair.getPublic().getEncoded())
+    # the keys' classes are not open to reflection; a factory states their encodings
+    factory = spark._jvm.java.security.KeyFactory.getInstance("Ed25519")
+    made = [(pair.getPrivate(), "java.security.spec.PKCS8EncodedKeySpec"), (pair.getPublic(), "java.security.spec.X509EncodedKeySpec")]
+    private, public = (bytes(factory.getKeySpec(k, spark._jvm.java.lang.Class.forName(c)).getEncoded()) for k, c in made)
+    return private, public
 
 
 def sign(spark: SparkSession, private: bytes, message: bytes) -> bytes:

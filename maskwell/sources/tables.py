@@ -18,9 +18,10 @@ def read_csv(spark: SparkSession, path: str, null_value: str | None = "NA", sep:
     """Every column a string; only ``null_value`` is null, empty fields stay empty. Files without line breaks in fields can be
     split: pass ``multi_line=False`` for them."""
     reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("emptyValue", "")
-    reader = reader.option("nullValue", null_value) if null_value is not None else reader.option("nullValue", "\x00")
-    out = reader.csv(path)
-    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns]) if null_value is None else out
+    # the parser gives null for an empty field: null words are made null after it, so that they stay apart
+    out = reader.option("nullValue", "\x00").csv(path)
+    text = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in out.columns}
+    return out.select(*[(v if null_value is None else F.when(v != null_value, v)).alias(c) for c, v in text.items()])
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
