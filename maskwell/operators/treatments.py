@@ -99,9 +99,18 @@ def microaggregate(df: DataFrame, row_id: str, cols: Sequence[str], aggr: int =
 
 
 def pram(df: DataFrame, row_id: str, col: str, retain: float = 0.8, seed: int = 1) -> DataFrame:
-    """Keep a value with probability ``retain``, else redraw it from the column's own distribution."""
+    """Keep a value with probability ``retain``, else redraw it from the column's own distribution. Up to ``FEW`` categories are
+    a constant table of cumulative shares; beyond, a redraw is the value at a drawn place of the sorted column, which is
+    the same value."""
     if col not in df.columns:
         return df
+    again, draw = uniform(seed, _col(row_id), F.lit(f"{col}:keep")), uniform(seed, _col(row_id), F.lit(f"{col}:draw"))
+    if df.where(_col(col).isNotNull()).select(_col(col)).distinct().limit(FEW + 1).count() > FEW:
+        valued = df.select(_col(row_id).alias("_id"), _col(col).cast("string").alias("_v")).where("_v is not null")
+        placed = dense_position(valued, ["_v", "_id"], "_k").select("_k", "_v")
+        n = valued.count()
+        new = df.withColumn("_k", (F.floor(draw * n) + 1).cast("long")).join(placed, "_k")
+        return new.select(*[(F.when(_col(c).isNotNull() & (again >= retain), F.col("_v")).otherwise(_col(c).cast("string")).alias(c) if c == col else _col(c)) for c in df.columns])
     counts = df.where(_col(col).isNotNull()).groupBy(_col(col).cast("string").alias("_value")).agg(F.count("*").alias("_n"))
     # cumulative shares; a row for each category
     w = Window.orderBy("_value")
@@ -111,7 +120,6 @@ def pram(df: DataFrame, row_id: str, col: str, retain: float = 0.8, seed: int =
     if not table:
         return df
     literal = F.array(*[F.struct(F.lit(float(r["_hi"])).alias("hi"), F.lit(r["_value"]).alias("value")) for r in table])
-    again, draw = uniform(seed, _col(row_id), F.lit(f"{col}:keep")), uniform(seed, _col(row_id), F.lit(f"{col}:draw"))
     pick = F.filter(literal, lambda t: t["hi"] > draw)
     drawn = F.coalesce(F.get(pick, 0)["value"], F.lit(table[-1]["_value"]))
     return df.withColumn(col, F.when(_col(col).isNotNull() & (again >= retain), drawn).otherwise(_col(col).cast("string")))
@@ -161,6 +169,9 @@ def synth_joint(df: DataFrame, row_id: str, cols: Sequence[str], seed: int = 1)
     return synth_marginal(df, row_id, cols, seed), "joint synthesis is not available; columns were drawn independently"
 
 
+#: Categories that a redraw's table may have.
+FEW = 10_000
+
 STEPS: dict[str, Callable] = {"suppress": suppress, "recode": recode, "topbottom": topbottom, "microaggregate": microaggregate, "pram": pram, "noise": noise, "synth": synth_marginal}
 _WITH_ROW = {"microaggregate", "pram", "noise", "synth"}
 

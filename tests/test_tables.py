@@ -93,6 +93,12 @@ def test_treatments(spark):
         assert a == b and len(a) == 11
     assert treatments.synth_marginal(df, "id", ["g"]).where("g is null").count() == 0
     assert treatments.pram(df, "id", "g", 0.0).where("g is null").count() == df.where("g is null").count()
+    few, treatments.FEW = treatments.FEW, 1
+    try:
+        far = treatments.pram(df, "id", "g", 0.3, 4).collect()
+    finally:
+        treatments.FEW = few
+    assert sorted(map(tuple, far), key=repr) == sorted(map(tuple, treatments.pram(df, "id", "g", 0.3, 4).collect()), key=repr)
     out, log = treatments.apply_steps(df, "id", [("noise", {"cols": ["v"]}), ("nope", {})])
     assert out.count() == 11 and log[1].startswith("(skipped")
     assert {r["column"]: r["n_changed"] for r in treatments.count_changes(df, treatments.recode(df, "g", mapping={"a": "z"}), "id", ["g", "n"]).collect()} == {"g": 3, "n": 0}
