@@ -8,15 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import staged
+
+#: ``monotonically_increasing_id`` has the partition above this bit and the place in it below.
+_BITS = 33
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with places 1..n in the order of its partitions and of the rows in them. Written once: the places within
+    partitions and the partitions' sizes must come from one evaluation."""
+    marked = staged(df.withColumn("__pos", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("__pos", _BITS), F.col("__pos").bitwiseAND((1 << _BITS) - 1) + 1
+    sizes = marked.groupBy(part.alias("__part")).agg(F.max(place).alias("__n"))
+    # a row for each partition: the running sum over them, and its broadcast, stay small
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).drop("__n")
+    out = marked.join(F.broadcast(before), part == F.col("__part"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (place + F.col("__before")).cast("long").alias(name))
+
 
 def dense_position(df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
-    """``df`` with its rows' places 1..n by the ``order`` columns, which should be unique together: ranges are sorted apart,
-    and each range's places start after the rows of the ranges before it."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    within = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    # a row for each range: the running sum over them is small
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    return within.join(F.broadcast(before), "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+    """``df`` with its rows' places 1..n by the ``order`` columns, which should be unique together: one range shuffle."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(df.repartitionByRange(n, *order).sortWithinPartitions(*order), name)

@@ -55,18 +55,9 @@ def header(df: DataFrame) -> list[str]:
 
 def with_row_id(df: DataFrame, name: str = "row_id", order: Sequence[str] | None = None) -> DataFrame:
     """Places 1..n: by the ``order`` columns, or else as the rows come."""
-    if order:
-        from ..operators.ranks import dense_position
-
-        return dense_position(df, order, name)
-    # as read: rows of the partitions before, then the place in the partition
-    marked = df.withColumns({"_id": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    from pyspark.sql.window import Window
-
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    place = (F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).cast("long")
-    return marked.join(F.broadcast(before.drop("_n")), "_part").select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name))
+    from ..operators.ranks import dense_position, numbered
+
+    return dense_position(df, order, name) if order else numbered(df, name)
 
 
 def newline_safe(path: str, sep: str = ",") -> bool:
