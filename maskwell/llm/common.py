@@ -21,10 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Paths made since a caller last emptied this list; a caller that knows them to be read to the end may remove them early.
+made_paths: list[str] = []
+
+
 def run_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/maskwell/{name}-{uuid.uuid4().hex}"
     hadoop_fs(spark, path)[0].deleteOnExit(hadoop_fs(spark, path)[1])
+    made_paths.append(path)
     return path
 
 

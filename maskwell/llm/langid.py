@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import small_batches
+
 UND = "und"
 PROFILE_SIZE = 300
 #: Training documents per language, at most: those with the smallest hash of doc_id.
@@ -86,6 +88,7 @@ class Profiles:
 def fit(labelled: DataFrame, size: int = PROFILE_SIZE, max_docs: int = MAX_TRAIN_DOCS) -> Profiles:
     """Learn from ``text`` and non-null ``lang`` of ``labelled``: a bounded sample of ``max_docs`` documents per
     language, those with the smallest hashes of ``doc_id``. Collected: ``size`` n-grams per language."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null").select("doc_id", "lang", "text")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:

@@ -145,7 +145,7 @@ def mix_rows(rows: DataFrame, weights: Sequence[float], share: float, cap: float
     cut = spans.select("*", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")).alias("block"))
     pieces = cut.selectExpr("k", "block", "row_key", "doc_id", "epoch", f"greatest(a, block * {block}) - a as first_word", f"least(b, (block + 1) * {block}) - greatest(a, block * {block}) as words")
     slots = _slots(spark, [math.ceil(w / block) for w in whole])
-    return Mix(marked.select("row_key", "doc_id", "source", "size", "source_size", "target"), slots.join(pieces, ["k", "block"]), found)
+    return Mix(marked.select("row_key", "doc_id", "source", "size", "source_size", "target"), slots.join(pieces.hint("merge"), ["k", "block"]), found)
 
 
 def taken_words(mixed: Mix) -> DataFrame:

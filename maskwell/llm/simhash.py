@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, temp_name, write_table
+from .common import remove, small_batches, temp_name, write_table
 from .tokenbin import filesystem
 
 RADIUS = 3
@@ -177,6 +177,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long), component_id of every row of ``docs``."""
+    small_batches(docs.sparkSession)
     marked, _ = write_table(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints, radius))
@@ -212,7 +213,8 @@ def wide_links(tiles: DataFrame, radius: int) -> DataFrame:
 
     def compare(one, two, same: bool):
         """Links between the rows of two tiles, in strips of the first one."""
-        left, right, step = [], [], 64
+        # strips that stay in the processor's cache; half of the words already tell most pairs apart
+        left, right, step, half = [], [], 16, max(1, len(one[1]) // 2)
         for at in range(0, len(one[0]), step):
             ones = one[2][at : at + step]
             # sorted by population count: only this stretch of the other can be near
@@ -221,10 +223,15 @@ def wide_links(tiles: DataFrame, radius: int) -> DataFrame:
             if lo >= hi:
                 continue
             away = np.zeros((len(ones), hi - lo), np.uint16)
-            for a, b in zip(one[1], two[1], strict=True):
+            for a, b in zip(one[1][:half], two[1][:half], strict=True):
                 away += np.bitwise_count(a[at : at + step, None] ^ b[None, lo:hi])
             i, j = np.nonzero(away <= radius)
+            total = away[i, j]
             i, j = i + at, j + lo
+            for a, b in zip(one[1][half:], two[1][half:], strict=True):
+                total += np.bitwise_count(a[i] ^ b[j])
+            near = total <= radius
+            i, j = i[near], j[near]
             if same:
                 i, j = i[i < j], j[i < j]
             left.append(i)
@@ -264,6 +271,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = WIDE_WO
     def sign(texts: pd.Series) -> pd.Series:
         return pd.Series([signature(x if isinstance(x, str) else None, shingle, words) for x in texts])
 
+    small_batches(docs.sparkSession)
     key, sig = temp_name(docs, "row_key"), temp_name(docs, "sig")
     signed, path = write_table(docs.withColumns({key: F.monotonically_increasing_id(), sig: sign("text")}), "near-signed")
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
