@@ -2,14 +2,16 @@
 
 Each input task writes its documents as immutable index shards of at most ``SHARD_DOCS``
 documents into the shared folder (term dictionary, postings in document order, lengths).
-Documents of a shard are ordered so that like ones are neighbours, and every ``BLOCK`` of them
-has, for each term, the largest impact. Corpus statistics (number and mean length of documents,
-document frequencies) are global, so scores do not depend on the shards.
+Documents of a shard are ordered so that like ones are neighbours. Corpus statistics (number
+and mean length of documents, document frequencies) are global, so scores do not depend on the
+shards.
 
-A shard and a file of queries are one task. For a query it adds up the blocks' bounds, scores
-the most promising blocks first, and then only those whose bound reaches the k-th score. The
-shards' results are merged exactly by score, then doc_id. Terms are added in code-point order
-everywhere, so scores are the same numbers however documents are dealt.
+A few shards and a file of queries are one task. In each shard a query first adds up its rare
+terms; a block of ``BLOCK`` documents is then bounded by its best document so far plus the
+largest impacts of the frequent terms in it, and only blocks whose bound reaches the k-th score
+of all shards before are scored further. Candidates get exact sums, rounded once, so scores are
+the same numbers however documents are dealt, and tasks' results merge exactly by score, then
+doc_id.
 
 Words: runs of letters and digits, lower-cased. Documents that share no word with a query are
 no hits. Null and empty texts have no words: they are neither found nor find anything. Repeated
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import run_path, write_table
+from .common import run_path, small_batches, write_table
 from .tokenbin import filesystem
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, BLOCK, QUERY_FILE = 10_000, 64, 2048
+SHARD_DOCS, BLOCK, QUERY_FILE, SHARDS_A_TASK = 10_000, 64, 2048, 8
+#: Terms in more than this share of a shard's documents are frequent: they have bounds by block.
+FREQUENT = 0.02
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -108,54 +112,78 @@ class Shard:
         edges, blob = np.concatenate(([0], np.cumsum(size))), names.tobytes()
         self.terms = {blob[a:z]: k for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))}
         norm = k1 * (1 - b + b * length / mean_length) if mean_length else np.ones(len(length))
+        n, self.doc = len(self.ids), self.doc.astype(np.int64)
         self.impact = tf * (k1 + 1) / (tf + norm[self.doc])
-        # entries: each (term, block) that has postings, with its postings' place and its largest impact
-        self.blocks = max(1, -(-len(self.ids) // BLOCK))
-        term = np.repeat(np.arange(len(df)), df)
-        cell = term * self.blocks + self.doc // BLOCK
-        first = np.nonzero(np.concatenate(([True], cell[1:] != cell[:-1])))[0] if len(cell) else np.empty(0, np.int64)
-        self.first = np.append(first, len(cell))
-        self.block = (self.doc[first] // BLOCK).astype(np.int32)
-        self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.entry = np.searchsorted(term[first] if len(first) else first, np.arange(len(df) + 1))
-
-    def search(self, terms: list[bytes], weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(document numbers, scores) of every document that may be among the k best of this shard, best first; terms sorted."""
+        self.edges = [0, *np.cumsum(df, dtype=np.int64).tolist()]
+        self.blocks = max(1, -(-n // BLOCK))
+        # frequent terms: the largest impact in each block
+        self.frequent = np.nonzero(df > FREQUENT * n)[0]
+        self.row = np.full(len(df), -1)
+        self.row[self.frequent] = np.arange(len(self.frequent))
+        self.most = np.zeros((len(self.frequent), self.blocks))
+        for k, t in enumerate(self.frequent.tolist()):
+            x, y = self.edges[t], self.edges[t + 1]
+            np.maximum.at(self.most[k], self.doc[x:y] // BLOCK, self.impact[x:y])
+        # the same postings by document, for exact scores
+        order = np.argsort(self.doc, kind="stable")
+        self.of_doc = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=n))))
+        self.doc_term = np.repeat(np.arange(len(df), dtype=np.int32), df)[order]
+        self.doc_impact = self.impact[order]
+        self.row = self.row.tolist()
+        self.weight = np.zeros(len(df))
+        self.starts = np.arange(0, max(n, 1), BLOCK)
+
+    def _add(self, terms: list[tuple[int, float]], keep: np.ndarray | None = None) -> np.ndarray:
+        """Scores of all documents by these terms; keep: only of documents in these blocks."""
+        edges = self.edges
+        spans = [(edges[t], edges[t + 1]) for t, _ in terms]
+        if not spans:
+            return np.zeros(len(self.ids))
+        doc = np.concatenate([self.doc[x:y] for x, y in spans])
+        value = np.concatenate([self.impact[x:y] for x, y in spans]) * np.repeat([w for _, w in terms], [y - x for x, y in spans])
+        if keep is not None:
+            at = keep[doc // BLOCK]
+            doc, value = doc[at], value[at]
+        return np.bincount(doc, weights=value, minlength=len(self.ids))
+
+    def exact(self, doc: int) -> float:
+        """Score of a document by the weights of the query at work, rounded once: the order of terms does not matter."""
+        x, y = self.of_doc[doc], self.of_doc[doc + 1]
+        parts = self.doc_impact[x:y] * self.weight[self.doc_term[x:y]]
+        return math.fsum(parts[parts > 0].tolist())
+
+    def search(self, terms: list[bytes], weights: list[float], best: list[tuple[float, int]], k: int = K) -> list[tuple[float, int]]:
+        """The k best of ``best`` ((-score, doc_id) so far, sorted) and this shard's documents."""
         known = [(self.terms[t], w) for t, w in zip(terms, weights, strict=True) if t in self.terms]
         if not known:
-            return np.empty(0, np.int64), np.empty(0)
-        term, weight = np.array([x[0] for x in known]), np.array([x[1] for x in known])
-        entries, counts = _ranges(self.entry[term], self.entry[term + 1])
-        block, per = self.block[entries], np.repeat(weight, counts)
-        # the sums of bounds are rounded: keep a little room
-        bound = np.bincount(block, weights=self.most[entries] * per, minlength=self.blocks) * (1 + 1e-9)
-        scores, least = np.zeros(len(self.ids)), 0.0
-        order = np.argsort(-bound, kind="stable")
-        few = max(2, self.blocks // 16)
-        for part in (order[:few], order[few:]):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = (bound[part] >= least) & (bound[part] > 0)
-            if not chosen.any():
-                continue
-            at = chosen[block]
-            own = entries[at]
-            places, n = _ranges(self.first[own], self.first[own + 1])
-            scores += np.bincount(self.doc[places], weights=self.impact[places] * np.repeat(per[at], n), minlength=len(scores))
-            if len(scores) > k:
-                least = max(0.0, np.partition(scores, len(scores) - k)[len(scores) - k])
-        found = np.nonzero((scores >= least) & (scores > 0))[0]
-        best = found[np.lexsort((self.ids[found], -scores[found]))][:k]
-        return best, scores[best]
-
-
-def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges a[i] .. b[i]-1 one after the other, and the ranges' lengths."""
-    n = b - a
-    total = int(n.sum())
-    if not total:
-        return np.empty(0, np.int64), n
-    out = np.arange(total, dtype=np.int64)
-    return out + np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n), n
+            return best
+        least = -best[-1][0] if len(best) == k else 0.0
+        rare, often = [x for x in known if self.row[x[0]] < 0], [x for x in known if self.row[x[0]] >= 0]
+        scores = self._add(rare)
+        keep = None
+        if often:
+            # a block's bound: its best document by the rare terms, and the largest impacts of the frequent ones
+            bound = np.array([w for _, w in often]) @ self.most[[self.row[t] for t, _ in often]]
+            bound = np.maximum.reduceat(scores, self.starts) + bound
+            near = bound * (1 + 1e-9) >= least
+            if not near.any():
+                return best
+            if near.mean() < 0.5:
+                keep = near
+            scores += self._add(often, keep)
+            if keep is not None:
+                scores[~np.repeat(keep, BLOCK)[: len(scores)]] = 0.0
+        if len(scores) > k:
+            least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
+        # sums in another order differ in the last digits: candidates get a little room, then exact scores
+        found = np.nonzero((scores >= least * (1 - 1e-9)) & (scores > 0))[0]
+        if not len(found):
+            return best
+        at = [t for t, _ in known]
+        self.weight[at] = [w for _, w in known]
+        new = [(-self.exact(d), int(self.ids[d])) for d in found.tolist()]
+        self.weight[at] = 0.0
+        return sorted([*best, *new])[:k]
 
 
 def build(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -213,6 +241,7 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_docs: int = SHAR
     """query_id, rank (from 1), doc_id, score: the k best documents for every row of ``docs`` (doc_id, text) that
     ``is_query`` holds for, by the row's whole text, against all rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     catalogue = build(docs, shard_docs)
     shards = catalogue.where("uri is not null").select("uri", "docs", "length")
     sums = shards.agg(F.sum("docs").alias("docs"), F.sum("length").alias("length")).first()
@@ -224,37 +253,36 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_docs: int = SHAR
     files = max(1, math.ceil(queries.count() / QUERY_FILE))
     terms, _ = write_table(query_terms(queries, catalogue, sums["docs"]).repartition(files), "queries")
     blocks, mean = terms.inputFiles(), sums["length"] / sums["docs"]
-    jobs = shards.repartition(max(1, shards.count())).select("uri", F.explode(F.array(*[F.lit(b) for b in blocks])).alias("block")) if blocks else shards.select("uri", F.lit("").alias("block")).limit(0)
-    jobs, _ = write_table(jobs.select("uri", "block"), "search-jobs")
-    n_jobs = jobs.count()
+    if not blocks:
+        return empty.select("query_id", F.lit(0).alias("rank"), "doc_id", "score")
+    # a few shards and a file of queries are a task: the k-th score so far prunes in the next shard
+    group = F.pmod(F.xxhash64("uri"), F.lit(max(1, math.ceil(shards.count() / SHARDS_A_TASK))))
+    jobs = shards.groupBy(group.alias("group")).agg(F.sort_array(F.collect_list("uri")).alias("uris"))
+    jobs, _ = write_table(jobs.select("uris", F.explode(F.array(*[F.lit(b) for b in blocks])).alias("block")), "search-jobs")
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.parquet as pq
 
-        last: list = [None, None]
         for batch in batches:
-            for uri, block in zip(batch.column("uri").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                if last[0] != uri:
-                    last[:] = [uri, Shard(uri, mean)]
-                shard = last[1]
+            for uris, block in zip(batch.column("uris").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 fs, path = filesystem(block)
                 with fs.open_input_file(path) as handle:
-                    for some in pq.ParquetFile(handle).iter_batches(256):
-                        key, query, doc, score = [], [], [], []
-                        lists = some.column("terms")
-                        names, weights = lists.flatten().field(0).to_pylist(), lists.flatten().field(1).to_numpy()
-                        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                        for q, (qk, qi) in enumerate(zip(some.column("query_key").to_pylist(), some.column("query_id").to_pylist(), strict=True)):
-                            pairs = sorted(zip((x.encode("utf-8", "surrogatepass") for x in names[edges[q] : edges[q + 1]]), weights[edges[q] : edges[q + 1]].tolist(), strict=True))
-                            best, scores = shard.search([p[0] for p in pairs], np.array([p[1] for p in pairs]), k)
-                            key += [qk] * len(best)
-                            query += [qi] * len(best)
-                            doc.append(shard.ids[best])
-                            score.append(scores)
-                        ids = np.concatenate(doc) if doc else np.empty(0, np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(query, pa.int64()), pa.array(ids, pa.int64(), mask=ids == -(2**63)), pa.array(np.concatenate(score) if score else np.empty(0), pa.float64())], names=["query_key", "query_id", "doc_id", "score"])
-
-    found = jobs.repartition(max(1, n_jobs), "uri", "block").mapInArrow(run, schema)
+                    queries = pq.read_table(handle)
+                keys, ids, lists = queries.column("query_key").to_pylist(), queries.column("query_id").to_pylist(), queries.column("terms").combine_chunks()
+                names, weights = [x.encode("utf-8", "surrogatepass") for x in lists.flatten().field(0).to_pylist()], lists.flatten().field(1).to_pylist()
+                edges = [0, *np.cumsum(lists.value_lengths().to_numpy()).tolist()]
+                best: list[list[tuple[float, int]]] = [[] for _ in keys]
+                for uri in uris:
+                    shard = Shard(uri, mean)
+                    for q in range(len(keys)):
+                        best[q] = shard.search(names[edges[q] : edges[q + 1]], weights[edges[q] : edges[q + 1]], best[q], k)
+                rows = [(keys[q], ids[q], i, -s) for q, b in enumerate(best) for s, i in b]
+                if rows:
+                    key, query, doc, score = zip(*rows, strict=True)
+                    found = np.array(doc, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(query, pa.int64()), pa.array(found, mask=found == -(2**63)), pa.array(score, pa.float64())], names=["query_key", "query_id", "doc_id", "score"])
+
+    found = jobs.repartition(max(1, jobs.count())).mapInArrow(run, schema)
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
