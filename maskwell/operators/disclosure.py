@@ -64,7 +64,7 @@ def individual_risk(df: DataFrame, quasi: Sequence[str]) -> DataFrame | None:
 def dcr(released: DataFrame, reference: DataFrame, columns: Sequence[str], order: Sequence[str], sample: int = MAX_SAMPLE) -> DataFrame:
     """One row: min, mean and frac_exact of each released record's smallest share of differing columns from any reference
     record. A sampling measure: the first ``sample`` (at most 500) released records by the ``order`` columns, against
-    all of ``reference``; the sample is the bounded, broadcast side."""
+    all of ``reference``; the sample is a constant of the plan."""
     columns = [c for c in columns if c in released.columns and c in reference.columns]
     few = released.orderBy(*order).limit(min(sample, MAX_SAMPLE)).select(*[F.col(f"`{c}`").cast("string").alias(f"_{k}") for k, c in enumerate(columns)])
     few = few.withColumn("_id", F.monotonically_increasing_id())
