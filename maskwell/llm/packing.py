@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import write_table
+from .common import small_batches, write_table
 
 CAPACITY, END_ID = 4096, 1
 #: Nodes of the search besides three for each length, fillings kept at a node, lengths in a filling besides the largest.
@@ -219,6 +219,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, max_nodes: int = MAX_NODES) -> DataFrame:
     """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset of every piece of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     cut, _ = write_table(pieces(docs, path, capacity, end_id), "pack-pieces")
     counts, _ = write_table(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "pack-counts")
     histogram = [(r["length"], r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()]  # at most capacity rows
@@ -247,7 +248,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         return pd.DataFrame({"sequence_id": base[k] + away // copies[k], "offset": offset[k] + away % copies[k] * length.to_numpy()})
 
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    ranked = cut.withColumn("ids_crc32", F.crc32("ids")).join(before, ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = cut.withColumn("ids_crc32", F.crc32("ids")).join(before.hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.withColumn("at", place("length", "rank")).select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "at.sequence_id", "at.offset")
 
 

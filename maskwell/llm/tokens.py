@@ -1,7 +1,7 @@
 """Exact tokenisation with the tokenizers library, word by word.
 
 A text of familiar characters (ASCII without odd controls, Latin-1 without fractions and raised digits, Latin
-letters below U+0250 but U+0130, common punctuation) is cut into the words that the tokenizer's own splitter would cut, and
+letters below U+0180 but U+0130, common punctuation) is cut into the words that the tokenizer's own splitter would cut, and
 each distinct word is encoded once and remembered; byte-pair merges never cross words, so ids
 are those of the whole text. Texts with other characters, or with a special token's string, go
 through the library whole.
@@ -18,12 +18,12 @@ import numpy as np
 
 #: Words remembered in a Python worker: two generations of so many; the older one goes when the younger is full.
 MAX_WORDS = 200_000
-_FAMILIAR = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ–—‘’“”…€]*")
-_LETTERS = r"[^\W\d_]"
-#: The splitters of the two supported kinds, for familiar characters.
+_FAMILIAR = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ–—‘’“”…€]*")
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+#: The splitters of the two supported kinds, for familiar characters; the most frequent choice comes first.
 _SPLIT = {
-    "bytes": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTERS}+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
-    "words": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTERS}+|\d|(?:[^\s\w]|_)+"),
+    "bytes": re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"),
+    "words": re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s0-9{_LETTERS}]+"),
 }
 _WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The byte-level alphabet: printable Latin-1 bytes as themselves, the others in order from U+0100.
