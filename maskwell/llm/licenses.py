@@ -28,15 +28,15 @@ _VERSIONED = [
     ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", ("2 0", "2 1", "3 0", "2", "3")),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", ("1 0", "3 0", "1", "3")),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", r"apache(?: software)? licen[sc]e", ("1 0", "1 1", "2 0", "2")),
+    ("apache", " apache ", r"apache(?: software)? licen[sc]e", ("1 0", "1 1", "2 0", "2")),
     ("mpl", "mozilla", r"mozilla public licen[sc]e", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", r"eclipse public licen[sc]e", ("1 0", "2 0")),
+    ("epl", " eclipse public", r"eclipse public licen[sc]e", ("1 0", "2 0")),
     ("cpl", "common public", r"common public licen[sc]e", ("0 5", "1 0")),
     ("cddl", "common development", r"common development and distribution licen[sc]e", ("1 0", "1 1")),
     ("eupl", "european union", r"european union public licen[sc]e", ("1 0", "1 1", "1 2")),
     ("osl", "open software", r"open software licen[sc]e", ("1 0", "2 0", "2 1", "3 0")),
     ("afl", "academic free", r"academic free licen[sc]e", ("1 1", "1 2", "2 0", "2 1", "3 0")),
-    ("artistic", "artistic", r"artistic licen[sc]e", ("1 0", "2 0")),
+    ("artistic", "artistic licen", r"artistic licen[sc]e", ("1 0", "2 0")),
     ("bsl", "boost", r"boost software licen[sc]e", ("1 0",)),
     ("ofl", "open font", r"(?:sil )?open font licen[sc]e", ("1 0", "1 1")),
     ("lppl", "latex", r"latex project public licen[sc]e", ("1 0", "1 1", "1 2", "1 3")),
@@ -48,40 +48,40 @@ _VERSIONED = [
     ("odbl", "open database", r"open database licen[sc]e", ("1 0",)),
     ("odc-by", "open data commons", r"open data commons attribution licen[sc]e", ("1 0",)),
     ("cdla", "community data", r"community data licen[sc]e agreement", ("1 0", "2 0")),
-    ("openrail", "rail", r"(?:creativeml )?open ?rail(?: m)? licen[sc]e", ("1 0",)),
-    ("zpl", "zope", r"zope public licen[sc]e", ("1 1", "2 0", "2 1")),
-    ("w3c", "w3c", r"w3c software(?: notice and)? licen[sc]e", ("1 0",)),
+    ("openrail", "rail ", r"(?:creativeml )?open ?rail(?: m)? licen[sc]e", ("1 0",)),
+    ("zpl", " zope ", r"zope public licen[sc]e", ("1 1", "2 0", "2 1")),
+    ("w3c", " w3c software", r"w3c software(?: notice and)? licen[sc]e", ("1 0",)),
     ("sspl", "server side", r"server side public licen[sc]e", ("1",)),
-    ("elastic", "elastic", r"elastic licen[sc]e", ("1", "2", "2 0")),
+    ("elastic", "elastic licen", r"elastic licen[sc]e", ("1", "2", "2 0")),
     ("busl", "business source", r"business source licen[sc]e", ("1 0", "1 1")),
-    ("nasa", "nasa", r"nasa open source agreement", ("1 3",)),
-    ("qpl", "q public", r"q public licen[sc]e", ("1 0",)),
-    ("ipl", "ibm", r"ibm public licen[sc]e", ("1 0",)),
+    ("nasa", " nasa open", r"nasa open source agreement", ("1 3",)),
+    ("qpl", " q public", r"q public licen[sc]e", ("1 0",)),
+    ("ipl", " ibm public", r"ibm public licen[sc]e", ("1 0",)),
     ("upl", "universal permissive", r"universal permissive licen[sc]e", ("1 0",)),
-    ("mulan", "mulan", r"mulan (?:permissive|public) software licen[sc]e", ("1", "2")),
+    ("mulan", " mulan ", r"mulan (?:permissive|public) software licen[sc]e", ("1", "2")),
 ]
 #: Licenses without versions: label, keyword, name.
 _PLAIN = [
-    ("mit", "mit", r"(?:the )?mit licen[sc]e"),
-    ("mit", "expat", r"expat licen[sc]e"),
-    ("isc", "isc", r"isc licen[sc]e"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e"),
+    ("mit", " mit licen", r"(?:the )?mit licen[sc]e"),
+    ("mit", " expat licen", r"expat licen[sc]e"),
+    ("isc", " isc licen", r"isc licen[sc]e"),
+    ("zlib", " zlib ", r"zlib(?: libpng)? licen[sc]e"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "what the fuck", r"do what the fuck you want to public licen[sc]e"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|(?:2|two) clause bsd|bsd (?:2|two) clause) licen[sc]e"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|revised|modified) bsd|(?:3|three) clause bsd|bsd (?:3|three) clause) licen[sc]e"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|(?:4|four) clause bsd|bsd (?:4|four) clause) licen[sc]e"),
     ("bsd-0-clause", "bsd", r"(?:zero|0) clause bsd licen[sc]e"),
-    ("bsd", "bsd", r"bsd licen[sc]e"),
-    ("postgresql", "postgresql", r"postgresql licen[sc]e"),
-    ("openssl", "openssl", r"openssl licen[sc]e"),
-    ("php", "php", r"php licen[sc]e"),
-    ("ruby", "ruby", r"ruby licen[sc]e"),
-    ("vim", "vim", r"vim licen[sc]e"),
-    ("beerware", "beer", r"beerware licen[sc]e"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
+    ("bsd", " bsd licen", r"bsd licen[sc]e"),
+    ("postgresql", " postgresql licen", r"postgresql licen[sc]e"),
+    ("openssl", " openssl licen", r"openssl licen[sc]e"),
+    ("php", " php licen", r"php licen[sc]e"),
+    ("ruby", " ruby licen", r"ruby licen[sc]e"),
+    ("vim", " vim licen", r"vim licen[sc]e"),
+    ("beerware", "beerware", r"beerware licen[sc]e"),
+    ("cc0", " cc0 ", r"cc0(?: 1 0)?(?: universal)?"),
     ("pddl", "public domain dedication", r"public domain dedication and licen[sc]e"),
-    ("llama", "llama", r"llama(?: 2| 3)? community licen[sc]e"),
+    ("llama", " llama ", r"llama(?: 2| 3)? community licen[sc]e"),
 ]
 #: Creative Commons: label, short name in words, long name.
 _CC = [
@@ -113,7 +113,7 @@ _NOTICES = [
     ("bsl-1.0", "boost", NOTICE, r"distributed under the boost software licen[sc]e version 1 0"),
     ("ofl-1.1", "open font", NOTICE, r"this font software is licensed under the sil open font licen[sc]e version 1 1"),
     ("wtfpl", "what the fuck", NOTICE, r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document and changing it is allowed"),
-    ("beerware", "beer", NOTICE, r"you can buy me a beer in return"),
+    ("beerware", " beer ", NOTICE, r"you can buy me a beer in return"),
     ("reserved", "rights reserved", NAME, r"all rights reserved"),
     ("reserved", "rights reserved", MENTION, r"(?:some|no) rights reserved"),
     ("proprietary", "proprietary", NAME, r"proprietary and confidential"),
@@ -125,12 +125,12 @@ _NOTICES = [
     ("personal-use", "personal use", TAG, r"for personal use only"),
     ("non-commercial", "commercial use", TAG, r"(?:not for|no) commercial use"),
     ("education", "educational", TAG, r"for educational (?:use|purposes) only"),
-    ("license-mention", "licen", MENTION, r"(?:licensed|released|distributed) under"),
+    ("license-mention", " under ", MENTION, r"(?:licensed|released|distributed) under"),
     ("license-mention", "licen", MENTION, r"see (?:the )?licen[sc]e(?: file)?"),
     ("license-mention", "licen", MENTION, r"end user licen[sc]e agreement"),
     ("license-mention", "licen", MENTION, r"terms of (?:the|this) licen[sc]e"),
     ("license-mention", "open source", MENTION, r"open source licen[sc]e"),
-    ("terms", "terms", MENTION, r"terms (?:of (?:use|service)|and conditions)"),
+    ("terms", " terms ", MENTION, r"terms (?:of (?:use|service)|and conditions)"),
 ]
 
 
