@@ -484,6 +484,30 @@ def test_near_duplicates_by_similarity(spark, docs, no_docs):
     assert simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_exact(spark):
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    texts, want = {}, []
+    # (words shared, own words of the one, of the other): shingles shared are four less, own ones as many as own words
+    cases = [(k + 4, a, b) for n in (10, 40, 200) for k, a, b in ((28 * n // 20, 6 * n // 20, 6 * n // 20), (3 * n, n // 2, n // 2), (4 * n, n // 2, n // 2), (17 * n // 2, 3 * n // 4, 3 * n // 4))]
+    cases += [(k + 4, 0, 1) for k in (1, 2, 3, 4, 5, 6)] + [(400, 51, 50), (404, 50, 50)]
+    cases = [c for c in cases for _ in range(10)]
+    for k, (both, a, b) in enumerate(cases):
+        shared = [word() for _ in range(both)]
+        texts[2 * k], texts[2 * k + 1] = shared + [word() for _ in range(a)], shared + [word() for _ in range(b)]
+        want.append(2 * k)
+        if (both - 4) * 5 < 4 * (both - 4 + a + b):
+            want.append(2 * k + 1)
+    # a chain: each link is similar, its ends are not
+    chain = [word() for _ in range(204 + 300)]
+    for k in range(13):
+        texts[10**6 + k] = chain[20 * k : 20 * k + 204]
+    want.append(10**6)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
+    for sizes in ({"tile": 100, "set_tile": 20}, {}):
+        assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, **sizes).collect()) == sorted(want)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as p
 
