@@ -4,9 +4,9 @@ Texts become token ids once, in a written table of pieces; documents over the ca
 into full pieces and a rest. Pieces of equal length are interchangeable, so the search runs on
 the driver over the histogram of lengths, at most ``capacity`` entries whatever the input is:
 best-fit decreasing gives the first incumbent, and bin completion enumerates undominated
-fillings around the largest remaining length, repeats a filling while its lengths last, prunes
-by the waste an improvement may have at most, and stops at the lower bound or after
-a bounded number of nodes. The plan, also bounded by the number of lengths, says for each length which
+fillings around the largest remaining length (each runs until no piece fits, and the least waste
+of the room is found by subset sums), repeats a filling while its lengths and the waste last, or
+fewer times, and stops at the lower bound or after a bounded number of nodes. The plan, also bounded by the number of lengths, says for each length which
 ranks go to which sequence; pieces get their rank within their length without a shuffle of one
 length into one task.
 
@@ -30,8 +30,12 @@ from . import tokens
 from .common import small_batches, write_table
 
 CAPACITY, END_ID = 4096, 1
-#: Nodes of the search besides three for each length, fillings kept at a node, lengths in a filling besides the largest.
+#: Nodes of the search besides three for each length, fillings kept at a node, pieces of a filling besides the largest
+#: that are branched on (the room left is then filled up greedily, and once by the subset sums of all lengths).
 MAX_NODES, WIDTH, DEPTH = 2000, 6, 4
+#: Searches in turn, each with that number of nodes: the part of the possible repeats a filling takes at first, and
+#: whether frequent lengths are preferred over large ones.
+TURNS = ((1, False), (1, True))
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -75,6 +79,36 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     return [(tuple(content), n) for bins in open_.values() for content, n in bins]
 
 
+def _fullest(counts: np.ndarray, mask: int, room: int, even: bool = False) -> list[tuple[int, ...]]:
+    """Fillings of a room with the least waste there is, by subset sums: the one with most of the largest lengths, and the
+    one with fewest. even: instead, one of each of the most frequent lengths as far as the sum allows."""
+    sizes, low = [], mask & ((1 << (room + 1)) - 1)
+    while low:
+        sizes.append((low & -low).bit_length() - 1)
+        low &= low - 1
+    if even:
+        sizes.sort(key=lambda x: int(counts[x]))
+    whole, reach = (1 << (room + 1)) - 1, [1]
+    for x in sizes:
+        bits, n, k = reach[-1], min(int(counts[x]), room // x), 1
+        while n:
+            k = min(k, n)
+            bits |= bits << k * x & whole
+            n, k = n - k, 2 * k
+        reach.append(bits)
+    out = []
+    for most in (False,) if even else (True, False):
+        items, left = (), reach[-1].bit_length() - 1
+        for k in range(len(sizes) - 1, -1, -1):
+            x = sizes[k]
+            top = min(int(counts[x]), left // x)
+            tries = (1, 0, *range(2, top + 1)) if even and top else range(top, -1, -1) if most else range(top + 1)
+            n = next(n for n in tries if reach[k] >> (left - n * x) & 1)
+            items, left = items + (x,) * n, left - n * x
+        out.append(items)
+    return out
+
+
 def _fillings(counts: np.ndarray, mask: int, room: int) -> list[tuple[int, ...]]:
     """Undominated fillings of a room, tightest first: no length or pair in one could give way to one larger length that also fits."""
     found: list[tuple[int, tuple[int, ...]]] = []
@@ -86,6 +120,15 @@ def _fillings(counts: np.ndarray, mask: int, room: int) -> list[tuple[int, ...]]
     def free(size: int, used: tuple[int, ...]) -> bool:
         return counts[size] > used.count(size)
 
+    def fill_up(used: tuple[int, ...], left: int, limit: int) -> tuple[tuple[int, ...], int]:
+        """The largest lengths that fit, until none does."""
+        size = largest(min(left, limit))
+        while size > 0:
+            n = min(int(counts[size]) - used.count(size), left // size)
+            used, left = used + (size,) * n, left - n * size
+            size = largest(min(left, size - 1))
+        return used, left
+
     def extend(used: tuple[int, ...], left: int, limit: int) -> bool:
         """True once a filling without waste is found."""
         nonlocal tries
@@ -99,7 +142,10 @@ def _fillings(counts: np.ndarray, mask: int, room: int) -> list[tuple[int, ...]]
                     found.append((0, now))
                     return True
                 if len(now) == DEPTH or largest(min(rest, size)) <= 0:
+                    now, rest = fill_up(now, rest, size)
                     found.append((rest, now))
+                    if rest == 0:
+                        return True
                 elif extend(now, rest, size):
                     return True
             size = largest(size - 1)
@@ -107,7 +153,9 @@ def _fillings(counts: np.ndarray, mask: int, room: int) -> list[tuple[int, ...]]
             found.append((left, used))
         return False
 
-    extend((), room, room)
+    if not extend((), room, room):
+        for items in _fullest(counts, mask, room):
+            found.append((room - sum(items), items))
 
     def dominated(slack: int, items: tuple[int, ...]) -> bool:
         for k, x in enumerate(items):
@@ -121,20 +169,16 @@ def _fillings(counts: np.ndarray, mask: int, room: int) -> list[tuple[int, ...]]
         return False
 
     best = sorted(set(found), key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))
-    good = [f[1] for f in best if not dominated(*f)]
+    good = [f[1] for f in best if not f[0] or len(f[1]) > DEPTH or not dominated(*f)]
     return (good or [best[0][1]] if best else [()])[:WIDTH]
 
 
-def plan(histogram: Iterable[tuple[int, int]], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Plan:
-    """(lengths in a sequence, number of such sequences) for a histogram of (length, count)."""
-    counts = np.zeros(capacity + 1, np.int64)
-    for size, n in histogram:
-        counts[size] += n
-    incumbent = best_fit(counts, capacity)
-    most, least = sum(n for _, n in incumbent), lower_bound(counts, capacity)
+def _search(counts: np.ndarray, capacity: int, incumbent: Plan, most: int, least: int, max_nodes: int, share: int, even: bool) -> tuple[Plan, int]:
+    """Bin completion from an incumbent of ``most`` sequences; a filling is repeated for a ``share``-th of what its lengths
+    allow at first, so that the larger the share, the longer a mix of lengths stays."""
     total = int((counts * np.arange(capacity + 1)).sum())
     mask = sum(1 << int(k) for k in np.nonzero(counts)[0])
-    path: list[list] = []  # [fillings left, largest, filling taken, times]
+    path: list[list] = []  # [(filling, repeats at most) left, largest, filling taken, times]
     waste = bins = nodes = 0
     max_nodes += 3 * int((counts > 0).sum())
     while most > least and nodes < max_nodes:
@@ -145,11 +189,11 @@ def plan(histogram: Iterable[tuple[int, int]], capacity: int = CAPACITY, max_nod
             counts[big] -= 1
             if not counts[big]:
                 mask ^= 1 << big
-            options = _fillings(counts, mask, capacity - big) if mask else [()]
+            options = (_fullest(counts, mask, capacity - big, True) if even else []) + _fillings(counts, mask, capacity - big) if mask else [()]
             if not counts[big]:
                 mask |= 1 << big
             counts[big] += 1
-            path.append([options, big, (), 0])
+            path.append([[(items, total) for items in options], big, (), 0])
         else:
             if not mask and bins < most:
                 incumbent, most = [((p[1], *p[2]), p[3]) for p in path], bins
@@ -167,12 +211,17 @@ def plan(histogram: Iterable[tuple[int, int]], capacity: int = CAPACITY, max_nod
             if not node[0]:
                 path.pop()
                 continue
-            node[2] = node[0].pop(0)
+            node[2], at_most = node[0].pop(0)
             items = (node[1], *node[2])
-            times = min(int(counts[x]) // items.count(x) for x in set(items))
+            times = min(at_most, *(int(counts[x]) // items.count(x) for x in set(items)))
             spare = capacity - sum(items)
-            if waste + spare * times > allowed:
+            if spare:
+                times = min(times, (allowed - waste) // spare)
+            if times < 1:
                 continue
+            times = -(-times // share)
+            if times > 1:  # later, fewer repeats
+                node[0].append((node[2], times // 2))
             node[3] = times
             for x in items:
                 counts[x] -= times
@@ -183,6 +232,19 @@ def plan(histogram: Iterable[tuple[int, int]], capacity: int = CAPACITY, max_nod
             break
         else:
             break
+    return incumbent, most
+
+
+def plan(histogram: Iterable[tuple[int, int]], capacity: int = CAPACITY, max_nodes: int = MAX_NODES) -> Plan:
+    """(lengths in a sequence, number of such sequences) for a histogram of (length, count)."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for size, n in histogram:
+        counts[size] += n
+    incumbent = best_fit(counts, capacity)
+    most, least = sum(n for _, n in incumbent), lower_bound(counts, capacity)
+    for share, even in TURNS:
+        if most > least:
+            incumbent, most = _search(counts.copy(), capacity, incumbent, most, least, max_nodes, share, even)
     return incumbent
 
 

@@ -280,6 +280,24 @@ def test_plan_is_optimal_on_small_inputs():
     assert packing.plan([], 20) == []
 
 
+@pytest.mark.parametrize(("low", "high", "pieces", "n"), [(327, 490, (8, 12), 20000), (327, 490, (8, 12), 200), (400, 800, (6, 9), 2000)])
+def test_plan_of_many_small_pieces(low, high, pieces, n):
+    rnd, planted, made = random.Random(1), Counter(), 0
+    while made < n:
+        own = [rnd.randint(low, high) for _ in range(rnd.randint(*pieces) - 1)]
+        if low <= 4096 - sum(own) <= high:
+            planted.update([*own, 4096 - sum(own)])
+            made += 1
+    plan, got = packing.plan(planted.items()), Counter()
+    for items, times in plan:
+        assert sum(items) <= 4096
+        for x in items:
+            got[x] += times
+    assert got == planted
+    # best-fit decreasing needs 4 to 8 percent more than the planted number
+    assert sum(times for _, times in plan) <= n + max(1, n // 1000)
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_packing(docs, no_docs, capacity):
     path = tokens.tokenizer_path("word_bpe_49k.json")
