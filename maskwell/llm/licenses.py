@@ -112,13 +112,13 @@ _NOTICES = [
     ("public-domain", "public domain", MENTION, r"public domain"),
     ("bsl-1.0", "boost", NOTICE, r"distributed under the boost software licen[sc]e version 1 0"),
     ("ofl-1.1", "open font", NOTICE, r"this font software is licensed under the sil open font licen[sc]e version 1 1"),
-    ("wtfpl", "what the fuck", NOTICE, r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document and changing it is allowed"),
+    ("wtfpl", "everyone is permitted", NOTICE, r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document and changing it is allowed"),
     ("beerware", " beer ", NOTICE, r"you can buy me a beer in return"),
     ("reserved", "rights reserved", NAME, r"all rights reserved"),
     ("reserved", "rights reserved", MENTION, r"(?:some|no) rights reserved"),
     ("proprietary", "proprietary", NAME, r"proprietary and confidential"),
     ("proprietary", "confidential", MENTION, r"confidential information of"),
-    ("proprietary", "permission", NOTICE, r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "unauthorized copying", NOTICE, r"unauthorized copying of this file via any medium is strictly prohibited"),
     ("copyright", "copyright", TAG, r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)*"),
     ("copyright", "copyright", MENTION, r"copyright notice"),
     ("permission-required", "permission", TAG, r"may not be (?:reproduced|copied|distributed) without (?:the )?(?:prior )?(?:written )?permission"),

@@ -248,6 +248,16 @@ def test_license_rules(spark):
     assert {"gpl-2.0-or-later"} <= {s["label"] for s in got[0]["detections"]}
 
 
+def test_license_keywords_are_part_of_their_rules(spark):
+    texts = [
+        ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited"),
+        ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed"),
+    ]
+    got = {r["doc_id"]: {s["label"] for s in r["detections"]} for r in licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(texts):
+        assert label in got[k]
+
+
 # op7
 
 
