@@ -275,3 +275,20 @@ def test_entry_contract(spark):
     names, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(names) and e.entry(spark).count() > 0
     json.dumps(sorted(names))
+
+
+def test_audit_logs_hold_every_customer(spark):
+    from maskwell import queries
+    from maskwell.control.audit import verify_chain
+
+    sf = "/root/testdata/sf0.001"
+    entries = queries._audit_logs(spark, sf).cache()
+    keys = sorted(r["c_custkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect())
+    assert len(keys) > 50 and sorted(r["seq"] for r in entries.collect()) == keys
+    assert verify_chain(entries, ["log"]).count() == 0
+    last = keys[-1]
+    bad = entries.withColumn("payload", F.when(F.col("seq") == last, "x").otherwise(F.col("payload")))
+    assert [r["seq"] for r in verify_chain(bad, ["log"]).collect()] == [last]
+    gone = entries.where(F.col("seq") != 60)
+    assert [r["seq"] for r in verify_chain(gone, ["log"]).collect()] == [61]
+    entries.unpersist()
