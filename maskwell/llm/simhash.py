@@ -13,17 +13,14 @@ a fingerprint; a null doc_id never names a component unless the whole component
 
 from __future__ import annotations
 
-import hashlib
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, small_batches, temp_name, write_table
-from .tokenbin import filesystem
+from .common import remove, small_batches, write_table
 
 RADIUS = 3
 SHINGLE = 3
@@ -159,14 +156,14 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b). root: one node of each component. Minimum labels over
     neighbours with pointer jumping; each round is a written table, of which the last two are kept."""
     spark = edges.sparkSession
     edges, edge_path = write_table(edges.where("a <> b").distinct(), "cc-edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels, path = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "cc-0")
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("low")), "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
         hooked = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "low").alias("root"))
         # jump: the root of my root
@@ -179,7 +176,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if done:
             remove(spark, edge_path)
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -192,199 +188,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = named.join(lowest, "root").select("fp", "component_id")
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
-
-
-#: Near duplicates share at least 4 of 5 (Jaccard, of shingle sets). At 0.8 a bit of the signature differs with
-#: probability 0.1: of 512 bits 51 on average, and over 100 in less than one of 10^9 pairs. Pairs within the radius are
-#: candidates only; the shingle sets decide.
-SIMILAR, WIDE_WORDS, WIDE_RADIUS, WIDE_TILE = (4, 5), 8, 100, 8192
-#: Rows and characters of text in a tile of shingle sets.
-SET_TILE, SET_CHARS = 2048, 1 << 24
-
-
-def wide_links(tiles: DataFrame, radius: int) -> DataFrame:
-    """(a, b) keys: a spanning forest of the links within each pair of tiles. ``tiles``: a written table, a file for each
-    tile, of key (long), sig (binary), ones (int). Tile pairs whose population counts differ beyond the radius are skipped."""
-    files = sorted(tiles.inputFiles())
-    spark = tiles.sparkSession
-    if not files:
-        return spark.createDataFrame([], "a long, b long")
-    n = len(files)
-
-    def load(uri: str):
-        import pyarrow.parquet as pq
-
-        fs, path = filesystem(uri)
-        with fs.open_input_file(path) as f:
-            t = pq.read_table(f)
-        t = t.sort_by("ones")
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u8").reshape(t.num_rows, -1) if t.num_rows else np.empty((0, 1), "<u8")
-        return t.column("key").to_numpy(), np.ascontiguousarray(sig.T), t.column("ones").to_numpy()
-
-    def compare(one, two, same: bool):
-        """Links between the rows of two tiles, in strips of the first one."""
-        # strips that stay in the processor's cache; half of the words already tell most pairs apart
-        left, right, step, half = [], [], 16, max(1, len(one[1]) // 2)
-        for at in range(0, len(one[0]), step):
-            ones = one[2][at : at + step]
-            # sorted by population count: only this stretch of the other can be near
-            lo, hi = np.searchsorted(two[2], ones[0] - radius, "left"), np.searchsorted(two[2], ones[-1] + radius, "right")
-            lo = max(lo, at) if same else lo
-            if lo >= hi:
-                continue
-            away = np.zeros((len(ones), hi - lo), np.uint16)
-            for a, b in zip(one[1][:half], two[1][:half], strict=True):
-                away += np.bitwise_count(a[at : at + step, None] ^ b[None, lo:hi])
-            i, j = np.nonzero(away <= radius)
-            total = away[i, j]
-            i, j = i + at, j + lo
-            for a, b in zip(one[1][half:], two[1][half:], strict=True):
-                total += np.bitwise_count(a[i] ^ b[j])
-            near = total <= radius
-            i, j = i[near], j[near]
-            if same:
-                i, j = i[i < j], j[i < j]
-            left.append(i)
-            right.append(j)
-        return np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in batch.column("id").to_pylist():
-                one = load(files[i])
-                # each pair of tiles once, the work dealt evenly: tile i meets the next n/2 around the circle
-                for d in range(n // 2 + 1):
-                    j = (i + d) % n
-                    if 2 * d == n and i > j:
-                        continue
-                    two = one if d == 0 else load(files[j])
-                    if not len(one[0]) or not len(two[0]) or two[2][0] > one[2][-1] + radius or one[2][0] > two[2][-1] + radius:
-                        continue
-                    a, b = compare(one, two, d == 0)
-                    if not len(a):
-                        continue
-                    keys = one[0] if d == 0 else np.concatenate((one[0], two[0]))
-                    label = _forest(a, b if d == 0 else b + len(one[0]), len(keys))
-                    moved = np.nonzero(label != np.arange(len(keys)))[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[label[moved]])], names=["a", "b"])
-
-    return spark.range(0, n, 1, n).mapInArrow(run, "a long, b long")
-
-
-class _Sets:
-    """A tile of shingle sets, sorted by root."""
-
-    def __init__(self, uri: str):
-        import pyarrow.parquet as pq
-
-        fs, path = filesystem(uri)
-        with fs.open_input_file(path) as f:
-            t = pq.read_table(f).sort_by("root")
-        self.root, self.key = t.column("root").to_numpy(), t.column("key").to_numpy()
-        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u8").reshape(t.num_rows, -1)
-        self.sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
-        self.size = np.array([len(x) for x in self.sets], np.int64)
-
-
-def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Elements that a sorted set has in common with each of some others; none is empty."""
-    flat = np.concatenate(others)
-    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
-    return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
-
-
-def _similar(one: _Sets, two: _Sets | None, radius: int, similar: tuple[int, int]) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs in a tile (two: None) or between two that are similar by their sets. Pairs that
-    are connected already are not looked at again."""
-    num, den = similar
-    other, shift = (one, 0) if two is None else (two, len(one.key))
-    label, a, b = np.arange(shift + len(other.key)), [], []
-    for root in np.intersect1d(one.root, other.root):
-        lo, hi = np.searchsorted(other.root, root, "left"), np.searchsorted(other.root, root, "right")
-        for i in range(np.searchsorted(one.root, root, "left"), np.searchsorted(one.root, root, "right")):
-            j = np.arange(i + 1 if two is None else lo, hi)
-            j = j[label[j + shift] != label[i]]
-            j = j[np.minimum(other.size[j], one.size[i]) * den >= np.maximum(other.size[j], one.size[i]) * num]
-            away = np.bitwise_count(other.sig[j] ^ one.sig[i]).sum(1, dtype=np.int64)
-            j = j[np.argsort(away, kind="stable")][: int((away <= radius).sum())]
-            many = 1
-            while len(j):  # nearest first, more at a time
-                shared = _shared(one.sets[i], [other.sets[k] for k in j[:many]])
-                for k in j[:many][shared * den >= (one.size[i] + other.size[j[:many]] - shared) * num]:
-                    if label[k + shift] != label[i]:
-                        a.append(int(one.key[i]))
-                        b.append(int(other.key[k]))
-                        label[label == label[k + shift]] = label[i]
-                j = j[many:]
-                j = j[label[j + shift] != label[i]]
-                many = min(4 * many, 256)
-    return a, b
-
-
-def similar_links(sets: DataFrame, radius: int, similar: tuple[int, int]) -> DataFrame:
-    """(a, b) keys: links whose components are those of all similar pairs. ``sets``: a written table, a file for each tile,
-    of root (long), key (long), sig (binary), shingles (sorted 64-bit hashes); pairs of one root are compared."""
-    spark, files = sets.sparkSession, sorted(sets.inputFiles())
-    if not files:
-        return spark.createDataFrame([], "a long, b long")
-    n = len(files)
-    reach = {r["f"].rpartition("/")[2]: (r["lo"], r["hi"]) for r in sets.groupBy(F.input_file_name().alias("f")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).collect()}
-    reach = [reach.get(f.rpartition("/")[2], (1, 0)) for f in files]
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in batch.column("id").to_pylist():
-                if reach[i][0] > reach[i][1]:
-                    continue
-                one = _Sets(files[i])
-                for d in range(n // 2 + 1):
-                    j = (i + d) % n
-                    if (2 * d == n and i > j) or max(reach[i][0], reach[j][0]) > min(reach[i][1], reach[j][1]):
-                        continue
-                    a, b = _similar(one, None if d == 0 else _Sets(files[j]), radius, similar)
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return spark.range(0, n, 1, n).mapInArrow(run, "a long, b long")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, words: int = WIDE_WORDS, radius: int = WIDE_RADIUS, tile: int = WIDE_TILE, similar: tuple[int, int] = SIMILAR, set_tile: int = SET_TILE) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near duplicates, in its columns: of a group the row with
-    the smallest doc_id (null last) stays. Rows are linked if their sets of shingles are similar; signatures only choose the
-    pairs whose sets are compared."""
-
-    def shingles(text) -> np.ndarray:
-        return np.unique(shingle_hashes(text if isinstance(text, str) else None, shingle))
-
-    @F.pandas_udf("sig binary, digest binary")
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(x) for x in texts]
-        return pd.DataFrame({"sig": [signature(x, words) for x in sets], "digest": [hashlib.sha256(x.tobytes()).digest() for x in sets]})
-
-    @F.pandas_udf("binary")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(x).tobytes() for x in texts])
-
-    small_batches(docs.sparkSession)
-    key, sig = temp_name(docs, "row_key"), temp_name(docs, "sig")
-    signed, path = write_table(docs.withColumns({key: F.monotonically_increasing_id(), sig: sign("text")}), "near-signed")
-    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
-    # equal sets are one node
-    prints, _ = write_table(signed.groupBy(F.col(f"{sig}.digest").alias("digest")).agg(F.min(best).alias("best"), F.first(f"{sig}.sig").alias("sig")).withColumn("key", F.col("best.key")), "near-prints")
-    ones = sum((F.bit_count(F.conv(F.hex(F.substring("sig", 4 * k + 1, 4)), 16, 10).cast("long")) for k in range(2 * words)), F.lit(0))
-    n = max(1, -(-prints.count() // tile))
-    tiles, _ = write_table(prints.select("key", "sig", ones.cast("int").alias("ones")).repartitionByRange(n, "ones", "key"), "near-tiles")
-    nearby = components(wide_links(tiles, radius))
-    rows = signed.select(F.col(key).alias("key"), F.col(f"{sig}.sig").alias("sig"), "text").join(nearby.withColumnRenamed("node", "key"), "key")
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    n = max(1, -(-size["n"] // set_tile), -(-size["chars"] // SET_CHARS))
-    sets, set_path = write_table(rows.repartitionByRange(n, "root", "key").select("root", "key", "sig", whole("text").alias("shingles")), "near-sets")
-    roots = components(similar_links(sets, radius, similar))
-    remove(docs.sparkSession, set_path)
-    named = prints.select("best", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias(key))
-    return signed.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,7 +13,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from maskwell.llm import chat, exact_dedup, langid, licenses, mixing, packing, sharding, simhash, tokenbin, tokens, topk
+from maskwell.llm import chat, exact_dedup, langid, licenses, mixing, near, packing, sharding, simhash, tokenbin, tokens, topk
 
 from maskwell.llm.common import write_table
 
@@ -505,11 +505,11 @@ def test_near_duplicates_by_similarity(spark, docs, no_docs):
     rows_ = [(i, " ".join(w), "en", "s", 1) for i, w in texts.items()] + [(None, " ".join(base[0]), None, None, None)]
     df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
     for tile in (30, 8192):
-        got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, tile=tile).collect())
+        got = sorted(r["doc_id"] for r in near.drop_near_duplicates(df, tile=tile).collect())
         assert got == sorted([10 * k for k in range(40)] + [10 * k + 3 for k in range(40)])
-    out = simhash.drop_near_duplicates(docs)
+    out = near.drop_near_duplicates(docs)
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} >= {1, 7, 11, 14}
-    assert simhash.drop_near_duplicates(no_docs).count() == 0
+    assert near.drop_near_duplicates(no_docs).count() == 0
 
 
 def test_near_duplicates_exact(spark):
@@ -533,7 +533,58 @@ def test_near_duplicates_exact(spark):
     want.append(10**6)
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(4)
     for sizes in ({"tile": 100, "set_tile": 20}, {}):
-        assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, **sizes).collect()) == sorted(want)
+        assert sorted(r["doc_id"] for r in near.drop_near_duplicates(df, **sizes).collect()) == sorted(want)
+
+
+def brute_near(docs):
+    """Smallest ids of the components of all pairs with a similarity of 0.8 or more (sets of five-word shingles)."""
+    sets = {}
+    for i, t in docs:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by = defaultdict(set)
+    for i, s in sets.items():
+        for x in s or {()}:
+            by[x].add(i)
+    pairs = {(i, j) for members in by.values() for i in members for j in members if i < j}
+    for i, j in sorted(pairs):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or both * 5 >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {find(i) for i in sets}
+
+
+def test_near_duplicates_of_a_table_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_near([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    got = {r["doc_id"] for r in near.drop_near_duplicates(docs.repartition(4), tile=200, set_tile=30).collect()}
+    # no clean document goes, and of those that should go none stays
+    assert got == want
+
+
+def test_a_large_group_costs_one_link_for_a_pair_of_tiles(spark, monkeypatch):
+    rnd, seen = random.Random(8), []
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join([*base[:k], f"x{rnd.random()}", *base[k + 1 :]]) for k in (rnd.randrange(300) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    real = near.components
+
+    def count(edges):
+        edges, _ = write_table(edges, "test-edges")
+        seen.append(edges.count())
+        return real(edges)
+
+    monkeypatch.setattr(near, "components", count)
+    assert [r["doc_id"] for r in near.drop_near_duplicates(df, tile=40, set_tile=40).collect()] == [0]
+    assert len(seen) == 2 and max(seen) <= 2 * 10 * 9 / 2
 
 
 def test_pipeline_stages(spark, docs):
