@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwell.llm import common, exact_dedup, langid, mixing, packing, simhash, tokens
+from maskwell.llm import common, exact_dedup, langid, mixing, near, packing, tokens
 from maskwell.llm.common import remove, temp_name, write_table
 
 
@@ -39,10 +39,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
     _begin(spark, docs)
-    return simhash.drop_near_duplicates(docs, shingle=5)
+    return near.drop_near_duplicates(docs, shingle=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("pack", pack)]
+STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
 
 #: Fingerprints, language profiles and token ids are not expressible in SQL.
 ORACLE_SQL = None
