@@ -54,8 +54,9 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Plan:
-    """Best-fit decreasing, equal pieces at a time."""
-    open_: dict[int, list[list]] = {}
+    """Best-fit decreasing, equal pieces and equal sequences at a time. The sequence that took a piece is the tightest one for
+    the next of that length, so each is filled with as many as fit before another is looked at."""
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     mask = 0
     for size in range(capacity, 0, -1):
         left = int(counts[size])
@@ -63,20 +64,20 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
             above = mask >> size
             if above:
                 room = size + (above & -above).bit_length() - 1
-                bins = open_[room]
+                content, n = open_[room].pop()
+                if not open_[room]:
+                    mask ^= 1 << room
             else:
-                room, bins = capacity, [[(), left]]
-            content, n = bins.pop()
-            used = min(n, left)
-            if n > used:
-                bins.append([content, n - used])
-            if room < capacity or above:
-                if not bins:
-                    mask &= ~(1 << room)
-            left -= used
-            open_.setdefault(room - size, []).append([(*content, size), used])
-            mask |= 1 << (room - size)
-    return [(tuple(content), n) for bins in open_.values() for content, n in bins]
+                room, content, n = capacity, (), left
+            fit = room // size
+            full = min(n, left // fit)
+            rest = left - full * fit if full < n else 0
+            for more, times in ((fit, full), (rest, 1 if rest else 0), (0, n - full - (rest > 0) if above else 0)):
+                if times:
+                    open_.setdefault(room - more * size, []).append((content + (size,) * more, times))
+                    mask |= 1 << (room - more * size)
+            left -= full * fit + rest
+    return [x for bins in open_.values() for x in bins]
 
 
 def _fullest(counts: np.ndarray, mask: int, room: int, even: bool = False) -> list[tuple[int, ...]]:
