@@ -1,22 +1,26 @@
 """Token ids as fixed-width bit-packed files.
 
-Documents are range-partitioned and sorted by doc_id; each task encodes its own and writes one
-immutable file into the shared folder, under a temporary name that is renamed when it is
-complete, so a task that runs again replaces its file as a whole.
+Texts are encoded where they lie, in a written table of packed ids; these, not the texts, are then
+range-partitioned and sorted by doc_id, and each task writes one immutable file into the shared
+folder, under a temporary name that is renamed when it is complete, so a task that runs again
+replaces its file as a whole. The number of files follows from the packed bytes.
 
 File (little endian): magic ``MWTB``, u32 version, u32 bits an id, u32 ids a block, u64 ids, u64
 documents, u64 blocks; u64 byte offsets of the blocks (and of the end); u64 first id of each
 document (and of the end); the blocks. A block holds ``block`` ids of ``bits`` bits each, low
 bits first, and begins at a byte, so any id is found without reading others.
 
-Null texts are empty: the end id alone. Repeated rows are documents of their own, null doc_ids
-come first. An empty table gives no rows.
+Null and empty texts are the end id alone. Repeated rows are documents of their own. Null doc_ids
+come first; rows of one doc_id are ordered by their number of ids, then a hash of them, so that only
+rows alike can change places, and a doc_id of many rows spreads over several files. Very long texts
+fill many blocks. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import run_path, small_batches, write_table
+from .common import remove, run_path, small_batches, write_table
 
-END_ID, BLOCK = 0, 1024
+END_ID, BLOCK, FILE_BYTES = 0, 1024, 128 << 20
 _HEAD = struct.Struct("<4sIIIQQQ")
 
 
@@ -138,44 +142,65 @@ class Reader:
         self.file.close()
 
 
-def write(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
+def encoded(docs: DataFrame, path: str, bits: int, end_id: int) -> DataFrame:
+    """doc_id, n (ids with the end id), packed ids, of every row."""
+    kind = docs.schema["doc_id"].dataType
+
+    def encode(batches):
+        import pyarrow as pa
+
+        words, end = tokens.load(path), np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [np.frombuffer(x + end, "<u4") for x in words.encode(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_bits(x, bits) for x in ids], pa.binary())], names=["doc_id", "n", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("packed", T.BinaryType())]))
+
+
+def write(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the files. Returns a written table: doc_id, shard, nth (in its file),
     uri, in the files' order."""
     spark = docs.sparkSession
     small_batches(spark)
     folder = run_path(spark, "tokens")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     bits = bits_for(tokens.load(path).vocabulary)
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    made, made_path = write_table(encoded(docs, path, bits, end_id), "tokens-packed")
+    size = made.agg(F.sum(F.length("packed"))).first()[0] or 0
+    # whole files, but as many as there are cores if the table is small
+    shards = max(1, -(-size // file_bytes), min(spark.sparkContext.defaultParallelism, -(-16 * size // file_bytes)))
+    order = ["doc_id", "n", "tie", "row"]
+    ordered = made.withColumns({"tie": F.xxhash64("packed"), "row": F.monotonically_increasing_id()}).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     fields = [("doc_id", docs.schema["doc_id"].dataType), ("shard", T.IntegerType()), ("nth", T.LongType()), ("uri", T.StringType())]
 
-    def encode(batches):
+    def save(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, shard = tokens.load(path), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
         uri, out, n = f"{folder}/{shard:06d}.tok", None, 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = out or Writer(uri, bits, block)
-                out.add([np.frombuffer(x + end, "<u4") for x in words.encode(part.column("text").to_pylist())])
-                m = part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shard] * m, pa.int32()), pa.array(np.arange(n, n + m)), pa.array([uri] * m)], names=[f[0] for f in fields])
-                n += m
+            out = out or Writer(uri, bits, block)
+            out.add([unpack_bits(x, k, bits) for x, k in zip(batch.column("packed").to_pylist(), batch.column("n").to_pylist(), strict=True)])
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shard] * m, pa.int32()), pa.array(np.arange(n, n + m)), pa.array([uri] * m)], names=[f[0] for f in fields])
+            n += m
         if out:
             out.close()
 
-    return write_table(ordered.mapInArrow(encode, T.StructType([T.StructField(*f) for f in fields])), "tokens-index")[0]
+    index, _ = write_table(ordered.select("doc_id", "n", "packed").mapInArrow(save, T.StructType([T.StructField(*f) for f in fields])), "tokens-index")
+    remove(spark, made_path)
+    return index
 
 
-def read_back(index: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids of every document, from the files. Collected: a row for each file."""
+def read_back(index: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if wanted, ids of every document, from the files. Collected: a row for each file."""
     spark = index.sparkSession
     files = index.groupBy("shard", "uri").agg(F.count("*").alias("docs")).orderBy("shard").collect()
     if not files:
-        return index.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"))
+        zero = F.lit(0).cast("long")
+        return index.select("doc_id", zero.alias("start"), zero.alias("n_tokens"), zero.alias("ids_crc32"), *[F.lit(b"").alias("ids")] * with_ids)
     listed = spark.createDataFrame([(r["shard"], r["uri"]) for r in files], "shard int, uri string").repartition(len(files))
 
     def totals(batches):
@@ -205,8 +230,11 @@ def read_back(index: DataFrame) -> DataFrame:
                     edges = r.docs[at : stop + 1]
                     ids = r.ids(int(edges[0]), int(edges[-1]))
                     rows = [ids[a - edges[0] : b - edges[0]].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([shard] * len(rows), pa.int32()), pa.array(np.arange(at, stop)), pa.array(first + edges[:-1]), pa.array(np.diff(edges)), pa.array(rows, pa.binary())], names=["shard", "nth", "start", "n_tokens", "ids"])
+                    out = [pa.array([shard] * len(rows), pa.int32()), pa.array(np.arange(at, stop)), pa.array(first + edges[:-1]), pa.array(np.diff(edges)), pa.array([zlib.crc32(x) for x in rows], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(out + [pa.array(rows, pa.binary())] * with_ids, names=names)
                 r.close()
 
-    back = starts.mapInArrow(read, "shard int, nth long, start long, n_tokens long, ids binary")
-    return back.withColumn("ids_crc32", F.crc32("ids")).join(index.select("doc_id", "shard", "nth").hint("merge"), ["shard", "nth"]).select("doc_id", "start", "n_tokens", "ids", "ids_crc32")
+    schema = "shard int, nth long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    back = starts.mapInArrow(read, schema)
+    return back.join(index.select("doc_id", "shard", "nth").hint("merge"), ["shard", "nth"]).select("doc_id", *names[2:])

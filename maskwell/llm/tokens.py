@@ -12,12 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+from array import array
 
 import numpy as np
 
 #: Words remembered in a Python worker: two generations of so many; the older one goes when the younger is full.
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
 _FAMILIAR = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ–—‘’“”…€]*")
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 #: The splitters of the two supported kinds, for familiar characters; the most frequent choice comes first.
@@ -29,6 +29,7 @@ _WORDS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The byte-level alphabet: printable Latin-1 bytes as themselves, the others in order from U+0100.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE = chr(_BYTES[0x20])
 _LOADED: dict[str, Words] = {}
 
 
@@ -78,11 +79,11 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         # a word as the model's own splitter would give it: its bytes as the byte-level alphabet writes them
-        if (known := self.older.get(word)) is not None:
-            self[word] = known
-            return known
-        ids = [t.id for t in self.merge(word.encode("utf-8").decode("latin-1").translate(_BYTES))]
-        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(word)
+        if out is None:
+            raw = word.replace(" ", _SPACE) if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(_BYTES)
+            out = array("I", [t.id for t in self.merge(raw)]).tobytes()
+        self[word] = out
         return out
 
 

@@ -390,9 +390,16 @@ def test_bits_round_trip(bits, tmp_path):
         assert (r.ids(a, b) == flat[a:b]).all()
 
 
-def test_token_binary(docs, no_docs):
+@pytest.mark.parametrize("size", [2000, 1 << 27])
+def test_token_binary(docs, no_docs, size):
     path = tokens.tokenizer_path("byte_bpe_50k.json")
-    got = tokenbin.read_back(tokenbin.write(docs, path)).collect()
+    index = tokenbin.write(docs, path, file_bytes=size)
+    assert index.select("uri").distinct().count() > (3 if size == 2000 else 0)
+    got = tokenbin.read_back(index).collect()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in got)
+    # another partitioning, the same places
+    again = tokenbin.read_back(tokenbin.write(docs.repartition(7), path), with_ids=False).collect()
+    assert Counter(map(tuple, again)) == Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got)
     words = tokens.Words(path)
     assert tokenbin.bits_for(words.vocabulary) == 16
     want = [(r[0], words.whole(r[1] or "") + b"\0\0\0\0") for r in rows()]
