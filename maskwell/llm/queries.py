@@ -17,7 +17,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best documents for every document whose id is divisible by 50, by its whole text."""
-    return topk.search(_docs(spark, sf_dir), F.col("doc_id") % 50 == 0)
+    found = topk.search(_docs(spark, sf_dir), F.col("doc_id") % 50 == 0)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _SQL = {
+    "op1_topk_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+        tf AS (SELECT r, t, count(*) AS n FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+        s AS (SELECT count(*) AS docs, sum(len(w)) / count(*)::DOUBLE AS mean FROM d),
+        idf AS (SELECT t, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, s GROUP BY t, docs),
+        p AS (SELECT q.r AS q, x.r AS x, sum(idf * q.n * (x.n * 2.2 / (x.n + 1.2 * (0.25 + 0.75 * len(d.w) / mean)))) AS score
+              FROM tf q JOIN tf x USING (t) JOIN idf USING (t) JOIN d ON d.r = x.r, s
+              WHERE q.r IN (SELECT r FROM d WHERE doc_id % 50 = 0) GROUP BY q.r, x.r),
+        k AS (SELECT a.doc_id AS query_id, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, b.doc_id NULLS FIRST) AS rank, b.doc_id, round(score, 6) AS score
+              FROM p JOIN d a ON a.r = q JOIN d b ON b.r = x)
+        SELECT query_id, rank, doc_id, score FROM k WHERE rank <= 10
+    """,
     "op9_sharding": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
     "op4_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),

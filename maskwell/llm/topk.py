@@ -6,20 +6,28 @@ Documents of a shard are ordered so that like ones are neighbours. Corpus statis
 and mean length of documents, document frequencies) are global, so scores do not depend on the
 shards.
 
-A few shards and a file of queries are one task. In each shard a query first adds up its rare
-terms; a block of ``BLOCK`` documents is then bounded by its best document so far plus the
-largest impacts of the frequent terms in it, and only blocks whose bound reaches the k-th score
-of all shards before are scored further. Candidates get exact sums, rounded once, so scores are
-the same numbers however documents are dealt, and tasks' results merge exactly by score, then
-doc_id.
+A few shards and a file of queries are one task. Postings of a term are cut into runs, one for each
+block of ``BLOCK`` documents, and every run of every term has its largest impact. In a shard a query
+adds these up to a bound for each block; blocks below the k-th score so far are skipped with all their
+postings. Its terms are then parted as at the pivot of WAND: frequent ones that together stay
+below a share of the k-th score cannot carry a document on their own. Only the others'
+postings, in the blocks that are left, are read; a document goes on if what it has by these and the
+frequent terms' bound of its block reach the k-th score; and only documents that go on are scored in
+full, from their own terms, best bound first. All steps are over whole arrays of a shard, as a
+cursor that moves from document to document would be a Python loop. Bounds have room for the error of single
+precision; what can be among the best gets an exact sum, rounded once, so scores are the same numbers
+however documents are dealt, and tasks' results merge exactly by score, then doc_id.
 
 Words: runs of letters and digits, lower-cased. Documents that share no word with a query are
-no hits. Null and empty texts have no words: they are neither found nor find anything. Repeated
-rows are documents and queries of their own; a null doc_id sorts first in ties.
+no hits. Null and empty texts have no words: they are neither found nor find anything. Very long
+texts count whole, as documents and as queries. Repeated rows are documents and queries of their own;
+ties go to the smallest doc_id, null first. Other columns are not read, whatever their names. An empty
+table and no queries give no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import struct
@@ -37,8 +45,9 @@ from .tokenbin import filesystem
 
 K, K1, B = 10, 1.2, 0.75
 SHARD_DOCS, BLOCK, QUERY_FILE, SHARDS_A_TASK = 10_000, 64, 2048, 8
-#: Terms in more than this share of a shard's documents are frequent: they have bounds by block.
-FREQUENT = 0.02
+#: Blocks of the best bounds that give the first k-th score; most frequent terms of a shard, whose impacts can be looked up by
+#: document; the part of the k-th score that those of them may reach which are not read; room for single precision's error.
+FIRST_BLOCKS, FREQUENT, PIVOT, ROOM = 4, 512, 0.5, 1e-5
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -77,9 +86,12 @@ class Builder:
         new[order] = np.arange(n, dtype=np.int32)
         at = np.lexsort((new[doc], term))
         blob = [w.encode("utf-8", "surrogatepass") for w in names]
-        ids = np.array([-(2**63) if x is None else x for x in self.ids], "<i8")
+        # the first entry stands for null: a number that is no id here
+        taken = set(self.ids)
+        null = next(x for x in itertools.count(-1, -1) if x not in taken)
+        ids = np.array([null if x is None else x for x in self.ids], "<i8")
         length = np.bincount(new[doc], weights=tf, minlength=n).astype("<i8")
-        return {"ids": ids[order], "length": length, "doc": new[doc][at].astype("<i4"), "tf": tf[at].astype("<i4"), "df": df.astype("<i4"), "size": np.array([len(x) for x in blob], "<i4"), "names": np.frombuffer(b"".join(blob), np.uint8)}
+        return {"ids": np.concatenate((np.array([null], "<i8"), ids[order])), "length": length, "doc": new[doc][at].astype("<u2"), "tf": tf[at].astype("<i4"), "df": df.astype("<i4"), "size": np.array([len(x) for x in blob], "<i4"), "names": np.frombuffer(b"".join(blob), np.uint8)}
 
 
 def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
@@ -96,95 +108,133 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
     fs.move(temporary, path)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of several ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Shard:
-    """An index shard in memory, with impacts and block bounds."""
+    """An index shard in memory: postings by term, in runs of one block each."""
 
     def __init__(self, uri: str, mean_length: float, k1: float = K1, b: float = B):
         import pyarrow as pa
 
         fs, path = filesystem(uri)
-        kinds, parts = ("<i8", "<i8", "<i4", "<i4", "<i4", "<i4", np.uint8), []
+        kinds, parts = ("<i8", "<i8", "<u2", "<i4", "<i4", "<i4", np.uint8), []
         with fs.open_input_stream(path) as file:
             for kind in kinds:
                 size, packed = struct.unpack("<QQ", file.read(16))
                 parts.append(np.frombuffer(pa.decompress(file.read(packed), size, codec="zstd", asbytes=True) if size else b"", kind))
-        self.ids, length, self.doc, tf, df, size, names = parts
-        edges, blob = np.concatenate(([0], np.cumsum(size))), names.tobytes()
-        self.terms = {blob[a:z]: k for k, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))}
-        norm = k1 * (1 - b + b * length / mean_length) if mean_length else np.ones(len(length))
-        n, self.doc = len(self.ids), self.doc.astype(np.int64)
-        self.impact = tf * (k1 + 1) / (tf + norm[self.doc])
-        self.edges = [0, *np.cumsum(df, dtype=np.int64).tolist()]
-        self.blocks = max(1, -(-n // BLOCK))
-        # frequent terms: the largest impact in each block
-        self.frequent = np.nonzero(df > FREQUENT * n)[0]
+        self.null, self.ids, length = parts[0][0], parts[0][1:], parts[1]
+        self.doc, self.tf, df, size, names = parts[2:]
+        edges, blob = np.concatenate(([0], np.cumsum(size))).tolist(), names.tobytes()
+        self.names = [blob[a:z] for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        self.k1, self.norm = k1, k1 * (1 - b + b * length / mean_length) if mean_length else np.ones(len(length))
+        n = len(self.ids)
+        self.impact = (self.tf * (k1 + 1) / (self.tf + self.norm[self.doc])).astype(np.float32)
+        self.blocks = -(-n // BLOCK)
+        block, self.df, edges = self.doc // BLOCK, df.astype(np.int64), np.concatenate(([0], np.cumsum(df, dtype=np.int64)))
+        first = np.ones(len(block), bool)
+        first[1:] = block[1:] != block[:-1]
+        first[edges[:-1]] = True
+        start = np.flatnonzero(first)
+        self.run_block, self.run_most = block[start].astype(np.int64), np.maximum.reduceat(self.impact, start) if len(start) else self.impact
+        self.run_edges, self.run = np.searchsorted(start, edges), np.append(start, len(block))
+        self.most = np.maximum.reduceat(self.run_most, self.run_edges[:-1]) if len(df) else self.impact
+        # frequent terms by document too
+        often = np.argsort(-self.df, kind="stable")[:FREQUENT]
         self.row = np.full(len(df), -1)
-        self.row[self.frequent] = np.arange(len(self.frequent))
-        self.most = np.zeros((len(self.frequent), self.blocks))
-        for k, t in enumerate(self.frequent.tolist()):
-            x, y = self.edges[t], self.edges[t + 1]
-            np.maximum.at(self.most[k], self.doc[x:y] // BLOCK, self.impact[x:y])
-        # the same postings by document, for exact scores
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((n, len(often)), np.float32)
+        for k, t in enumerate(often.tolist()):
+            self.rows[self.doc[edges[t] : edges[t + 1]], k] = self.impact[edges[t] : edges[t + 1]]
+        # all postings by document
         order = np.argsort(self.doc, kind="stable")
-        self.of_doc = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=n))))
-        self.doc_term = np.repeat(np.arange(len(df), dtype=np.int32), df)[order]
-        self.doc_impact = self.impact[order]
-        self.row = self.row.tolist()
+        self.doc_edges = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=n))))
+        self.doc_term, self.doc_tf = np.repeat(np.arange(len(df), dtype=np.int32), df)[order], self.tf[order]
         self.weight = np.zeros(len(df))
-        self.starts = np.arange(0, max(n, 1), BLOCK)
-
-    def _add(self, terms: list[tuple[int, float]], keep: np.ndarray | None = None) -> np.ndarray:
-        """Scores of all documents by these terms; keep: only of documents in these blocks."""
-        edges = self.edges
-        spans = [(edges[t], edges[t + 1]) for t, _ in terms]
-        if not spans:
-            return np.zeros(len(self.ids))
-        doc = np.concatenate([self.doc[x:y] for x, y in spans])
-        value = np.concatenate([self.impact[x:y] for x, y in spans]) * np.repeat([w for _, w in terms], [y - x for x, y in spans])
-        if keep is not None:
-            at = keep[doc // BLOCK]
-            doc, value = doc[at], value[at]
-        return np.bincount(doc, weights=value, minlength=len(self.ids))
-
-    def exact(self, doc: int) -> float:
-        """Score of a document by the weights of the query at work, rounded once: the order of terms does not matter."""
-        x, y = self.of_doc[doc], self.of_doc[doc + 1]
-        parts = self.doc_impact[x:y] * self.weight[self.doc_term[x:y]]
-        return math.fsum(parts[parts > 0].tolist())
-
-    def search(self, terms: list[bytes], weights: list[float], best: list[tuple[float, int]], k: int = K) -> list[tuple[float, int]]:
-        """The k best of ``best`` ((-score, doc_id) so far, sorted) and this shard's documents."""
-        known = [(self.terms[t], w) for t, w in zip(terms, weights, strict=True) if t in self.terms]
-        if not known:
-            return best
+        #: Postings of the queries' terms; those that were read by term; impacts looked up; postings read by document.
+        self.met = self.read = self.looked = self.full = 0
+
+    def _scored(self, docs: np.ndarray, best: list[tuple], k: int) -> list[tuple]:
+        """``best`` after these documents, by the weights of the query at work."""
+        size = self.doc_edges[docs + 1] - self.doc_edges[docs]
+        at, of = _ranges(self.doc_edges[docs], size), np.repeat(np.arange(len(docs)), size)
+        weight = self.weight[self.doc_term[at]]
+        at, of, weight = at[weight > 0], of[weight > 0], weight[weight > 0]
+        self.full += len(at)
+        tf = self.doc_tf[at]
+        part = tf * (self.k1 + 1) / (tf + self.norm[docs][of]) * weight
+        score = np.bincount(of, weights=part, minlength=len(docs))
         least = -best[-1][0] if len(best) == k else 0.0
-        rare, often = [x for x in known if self.row[x[0]] < 0], [x for x in known if self.row[x[0]] >= 0]
-        scores = self._add(rare)
-        keep = None
-        if often:
-            # a block's bound: its best document by the rare terms, and the largest impacts of the frequent ones
-            bound = np.array([w for _, w in often]) @ self.most[[self.row[t] for t, _ in often]]
-            bound = np.maximum.reduceat(scores, self.starts) + bound
-            near = bound * (1 + 1e-9) >= least
-            if not near.any():
-                return best
-            if near.mean() < 0.5:
-                keep = near
-            scores += self._add(often, keep)
-            if keep is not None:
-                scores[~np.repeat(keep, BLOCK)[: len(scores)]] = 0.0
-        if len(scores) > k:
-            least = max(least, np.partition(scores, len(scores) - k)[len(scores) - k])
-        # sums in another order differ in the last digits: candidates get a little room, then exact scores
-        found = np.nonzero((scores >= least * (1 - 1e-9)) & (scores > 0))[0]
-        if not len(found):
-            return best
-        at = [t for t, _ in known]
-        self.weight[at] = [w for _, w in known]
-        new = [(-self.exact(d), int(self.ids[d])) for d in found.tolist()]
-        self.weight[at] = 0.0
+        if len(score) > k:
+            least = max(least, np.partition(score, len(score) - k)[len(score) - k])
+        # in doubles only the last digits depend on the order of the sum
+        good = np.flatnonzero((score >= least * (1 - 1e-9)) & (score > 0))
+        edge, new, known = np.searchsorted(of, np.arange(len(docs) + 1)), [], {}
+        for d in good.tolist():
+            parts = part[edge[d] : edge[d + 1]]
+            sums = known.get(same := parts.tobytes())
+            if sums is None:
+                sums = known[same] = math.fsum(parts.tolist())
+            x = self.ids[docs[d]]
+            new.append((-sums, x != self.null, int(x)))
         return sorted([*best, *new])[:k]
 
+    def search(self, terms: np.ndarray, weights: np.ndarray, best: list[tuple], k: int = K) -> list[tuple]:
+        """The k best of ``best`` ((-score, has an id, id) so far, sorted) and this shard's documents. terms: places in names."""
+        sizes = self.run_edges[terms + 1] - self.run_edges[terms]
+        runs, weight = _ranges(self.run_edges[terms], sizes), np.repeat(weights, sizes)
+        block, most = self.run_block[runs], self.run_most[runs] * weight
+        bound = np.bincount(block, weights=most, minlength=self.blocks) * (1 + ROOM)
+        left = bound > 0
+        self.met += int(self.df[terms].sum())
+        self.weight[terms] = weights
+
+        def added(own: np.ndarray) -> np.ndarray:
+            """Scores of all documents by the postings of these runs."""
+            some = runs[own]
+            start = self.run[some]
+            size = self.run[some + 1] - start
+            posting = _ranges(start, size)
+            self.read += len(posting)
+            return np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weight[own].astype(np.float32), size), minlength=len(self.ids))
+
+        def least() -> float:
+            return -best[-1][0] if len(best) == k else 0.0
+
+        if len(best) < k:
+            # the blocks of the best bounds give a first k-th score
+            top = np.zeros(self.blocks, bool)
+            top[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+            score = added(top[block])
+            least_here = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
+            best = self._scored(np.flatnonzero((score >= least_here * (1 - ROOM)) & (score > 0)), best, k)
+            left &= ~top
+        left &= bound >= least()
+        if left.any():
+            reach, row = weights * self.most[terms], self.row[terms]
+            cheap = np.argsort(np.where(row >= 0, reach / self.df[terms], np.inf), kind="stable")
+            cheap = cheap[(np.cumsum(reach[cheap]) <= PIVOT * least()) & (row[cheap] >= 0)]
+            read = np.ones(len(terms), bool)
+            read[cheap] = False
+            own = np.repeat(read, sizes)
+            rest = np.bincount(block[~own], weights=most[~own], minlength=self.blocks)
+            score = added(own & left[block])
+            ceiling = (score + np.repeat(rest, BLOCK)[: len(score)]) * (1 + ROOM)
+            on = np.flatnonzero((ceiling >= least()) & (ceiling > 0) & np.repeat(left, BLOCK)[: len(score)])
+            if len(on):
+                score = score[on]
+                if len(cheap):
+                    self.looked += len(on) * len(cheap)
+                    for at in range(0, len(on), 4096):
+                        score[at : at + 4096] += self.rows[on[at : at + 4096, None], row[cheap]] @ weights[cheap].astype(np.float32)
+                least_here = max(least(), np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0)
+                best = self._scored(on[(score >= least_here * (1 - ROOM)) & (score > 0)], best, k)
+        self.weight[terms] = 0.0
+        return best
+
 
 def build(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Write the index of ``docs`` (doc_id, text). Returns the written catalogue: uri, docs, length, and for each
@@ -241,6 +291,8 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_docs: int = SHAR
     """query_id, rank (from 1), doc_id, score: the k best documents for every row of ``docs`` (doc_id, text) that
     ``is_query`` holds for, by the row's whole text, against all rows."""
     spark = docs.sparkSession
+    if shard_docs > 1 << 16:
+        raise ValueError("places of documents in a shard are 16-bit numbers")
     small_batches(spark)
     catalogue = build(docs, shard_docs)
     shards = catalogue.where("uri is not null").select("uri", "docs", "length")
@@ -270,18 +322,24 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_docs: int = SHAR
                 with fs.open_input_file(path) as handle:
                     queries = pq.read_table(handle)
                 keys, ids, lists = queries.column("query_key").to_pylist(), queries.column("query_id").to_pylist(), queries.column("terms").combine_chunks()
-                names, weights = [x.encode("utf-8", "surrogatepass") for x in lists.flatten().field(0).to_pylist()], lists.flatten().field(1).to_pylist()
-                edges = [0, *np.cumsum(lists.value_lengths().to_numpy()).tolist()]
-                best: list[list[tuple[float, int]]] = [[] for _ in keys]
+                flat = lists.flatten()
+                weights, edges = flat.field(1).to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).tolist()
+                known: dict[bytes, int] = {}
+                place = np.array([known.setdefault(x.encode("utf-8", "surrogatepass"), len(known)) for x in flat.field(0).to_pylist()], np.int64)
+                best: list[list[tuple]] = [[] for _ in keys]
                 for uri in uris:
-                    shard = Shard(uri, mean)
+                    shard, local = Shard(uri, mean), np.full(len(known), -1)
+                    here = np.fromiter((known.get(x, -1) for x in shard.names), np.int64, len(shard.names))
+                    local[here[here >= 0]] = np.flatnonzero(here >= 0)
+                    own = local[place]
                     for q in range(len(keys)):
-                        best[q] = shard.search(names[edges[q] : edges[q + 1]], weights[edges[q] : edges[q + 1]], best[q], k)
-                rows = [(keys[q], ids[q], i, -s) for q, b in enumerate(best) for s, i in b]
+                        t = own[edges[q] : edges[q + 1]]
+                        if (t >= 0).any():
+                            best[q] = shard.search(t[t >= 0], weights[edges[q] : edges[q + 1]][t >= 0], best[q], k)
+                rows = [(keys[q], ids[q], has, i, -s) for q, b in enumerate(best) for s, has, i in b]
                 if rows:
-                    key, query, doc, score = zip(*rows, strict=True)
-                    found = np.array(doc, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(query, pa.int64()), pa.array(found, mask=found == -(2**63)), pa.array(score, pa.float64())], names=["query_key", "query_id", "doc_id", "score"])
+                    key, query, has, doc, score = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(query, pa.int64()), pa.array(np.array(doc, np.int64), mask=~np.array(has, bool)), pa.array(score, pa.float64())], names=["query_key", "query_id", "doc_id", "score"])
 
     found = jobs.repartition(max(1, jobs.count())).mapInArrow(run, schema)
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
