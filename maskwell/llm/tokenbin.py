@@ -1,9 +1,10 @@
 """Token ids as fixed-width bit-packed files.
 
-Texts are encoded where they lie, in a written table of packed ids; these, not the texts, are then
-range-partitioned and sorted by doc_id, and each task writes one immutable file into the shared
-folder, under a temporary name that is renamed when it is complete, so a task that runs again
-replaces its file as a whole. The number of files follows from the packed bytes.
+Documents are range-partitioned and sorted by doc_id; each task encodes its own and writes one
+immutable file into the shared folder, under a temporary name that is renamed when it is
+complete, so a task that runs again replaces its file as a whole. The number of files follows from
+the bytes of text. (Texts are shuffled, not ids: packed ids do not compress and take as much room, and
+would have to be written once more to be shuffled by range.)
 
 File (little endian): magic ``MWTB``, u32 version, u32 bits an id, u32 ids a block, u64 ids, u64
 documents, u64 blocks; u64 byte offsets of the blocks (and of the end); u64 first id of each
@@ -11,7 +12,7 @@ document (and of the end); the blocks. A block holds ``block`` ids of ``bits`` b
 bits first, and begins at a byte, so any id is found without reading others.
 
 Null and empty texts are the end id alone. Repeated rows are documents of their own. Null doc_ids
-come first; rows of one doc_id are ordered by their number of ids, then a hash of them, so that only
+come first; rows of one doc_id are ordered by the length of their text, then a hash of it, so that only
 rows alike can change places, and a doc_id of many rows spreads over several files. Very long texts
 fill many blocks. Other columns are not read, whatever their names. An empty table gives no rows.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import remove, run_path, small_batches, write_table
+from .common import run_path, small_batches, write_table
 
 END_ID, BLOCK, FILE_BYTES = 0, 1024, 128 << 20
 _HEAD = struct.Struct("<4sIIIQQQ")
@@ -142,23 +143,6 @@ class Reader:
         self.file.close()
 
 
-def encoded(docs: DataFrame, path: str, bits: int, end_id: int) -> DataFrame:
-    """doc_id, n (ids with the end id), packed ids, of every row."""
-    kind = docs.schema["doc_id"].dataType
-
-    def encode(batches):
-        import pyarrow as pa
-
-        words, end = tokens.load(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.frombuffer(x + end, "<u4") for x in words.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack_bits(x, bits) for x in ids], pa.binary())], names=["doc_id", "n", "packed"])
-
-    return docs.select("doc_id", "text").mapInArrow(encode, T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("packed", T.BinaryType())]))
-
-
 def write(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the files. Returns a written table: doc_id, shard, nth (in its file),
     uri, in the files' order."""
@@ -166,32 +150,34 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, block: int = BLOCK,
     small_batches(spark)
     folder = run_path(spark, "tokens")
     bits = bits_for(tokens.load(path).vocabulary)
-    made, made_path = write_table(encoded(docs, path, bits, end_id), "tokens-packed")
-    size = made.agg(F.sum(F.length("packed"))).first()[0] or 0
-    # whole files, but as many as there are cores if the table is small
-    shards = max(1, -(-size // file_bytes), min(spark.sparkContext.defaultParallelism, -(-16 * size // file_bytes)))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # files of about the wanted size; of a small table a few for each core
+    shards = max(1, -(-size // file_bytes), min(4 * spark.sparkContext.defaultParallelism, -(-32 * size // file_bytes)))
     order = ["doc_id", "n", "tie", "row"]
-    ordered = made.withColumns({"tie": F.xxhash64("packed"), "row": F.monotonically_increasing_id()}).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    keyed = rows.withColumns({"n": F.octet_length("text"), "tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     fields = [("doc_id", docs.schema["doc_id"].dataType), ("shard", T.IntegerType()), ("nth", T.LongType()), ("uri", T.StringType())]
 
-    def save(batches):
+    def encode(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
+        words, shard = tokens.load(path), TaskContext.get().partitionId()
         uri, out, n = f"{folder}/{shard:06d}.tok", None, 0
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out = out or Writer(uri, bits, block)
-            out.add([unpack_bits(x, k, bits) for x, k in zip(batch.column("packed").to_pylist(), batch.column("n").to_pylist(), strict=True)])
-            m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shard] * m, pa.int32()), pa.array(np.arange(n, n + m)), pa.array([uri] * m)], names=[f[0] for f in fields])
-            n += m
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = out or Writer(uri, bits, block)
+                out.add([np.frombuffer(x + end, "<u4") for x in words.encode(part.column("text").to_pylist())])
+                m = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shard] * m, pa.int32()), pa.array(np.arange(n, n + m)), pa.array([uri] * m)], names=[f[0] for f in fields])
+                n += m
         if out:
             out.close()
 
-    index, _ = write_table(ordered.select("doc_id", "n", "packed").mapInArrow(save, T.StructType([T.StructField(*f) for f in fields])), "tokens-index")
-    remove(spark, made_path)
-    return index
+    return write_table(ordered.mapInArrow(encode, T.StructType([T.StructField(*f) for f in fields])), "tokens-index")[0]
 
 
 def read_back(index: DataFrame, with_ids: bool = True) -> DataFrame:
