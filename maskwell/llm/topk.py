@@ -14,7 +14,8 @@ below a share of the k-th score cannot carry a document on their own. Only the o
 postings, in the blocks that are left, are read; a document goes on if what it has by these and the
 frequent terms' bound of its block reach the k-th score; and only documents that go on are scored in
 full, from their own terms, best bound first. All steps are over whole arrays of a shard, as a
-cursor that moves from document to document would be a Python loop. Bounds have room for the error of single
+cursor that moves from document to document would be a Python loop. The first group of shards gives
+every query a k-th score, which all other groups start from. Bounds have room for the error of single
 precision; what can be among the best gets an exact sum, rounded once, so scores are the same numbers
 however documents are dealt, and tasks' results merge exactly by score, then doc_id.
 
@@ -140,7 +141,7 @@ class Shard:
         first[edges[:-1]] = True
         start = np.flatnonzero(first)
         self.run_block, self.run_most = block[start].astype(np.int64), np.maximum.reduceat(self.impact, start) if len(start) else self.impact
-        self.run_edges, self.run = np.searchsorted(start, edges), np.append(start, len(block))
+        self.run_edges, self.run, self.run_size = np.searchsorted(start, edges), start, np.diff(np.append(start, len(block)))
         self.most = np.maximum.reduceat(self.run_most, self.run_edges[:-1]) if len(df) else self.impact
         # frequent terms by document too
         often = np.argsort(-self.df, kind="stable")[:FREQUENT]
@@ -157,17 +158,18 @@ class Shard:
         #: Postings of the queries' terms; those that were read by term; impacts looked up; postings read by document.
         self.met = self.read = self.looked = self.full = 0
 
-    def _scored(self, docs: np.ndarray, best: list[tuple], k: int) -> list[tuple]:
+    def _scored(self, docs: np.ndarray, best: list[tuple], k: int, floor: float) -> list[tuple]:
         """``best`` after these documents, by the weights of the query at work."""
         size = self.doc_edges[docs + 1] - self.doc_edges[docs]
         at, of = _ranges(self.doc_edges[docs], size), np.repeat(np.arange(len(docs)), size)
-        weight = self.weight[self.doc_term[at]]
-        at, of, weight = at[weight > 0], of[weight > 0], weight[weight > 0]
+        weight = self.weight.take(self.doc_term.take(at))
+        hit = np.flatnonzero(weight)
+        at, of, weight = at.take(hit), of.take(hit), weight.take(hit)
         self.full += len(at)
         tf = self.doc_tf[at]
         part = tf * (self.k1 + 1) / (tf + self.norm[docs][of]) * weight
         score = np.bincount(of, weights=part, minlength=len(docs))
-        least = -best[-1][0] if len(best) == k else 0.0
+        least = -best[-1][0] if len(best) == k else floor
         if len(score) > k:
             least = max(least, np.partition(score, len(score) - k)[len(score) - k])
         # in doubles only the last digits depend on the order of the sum
@@ -182,11 +184,12 @@ class Shard:
             new.append((-sums, x != self.null, int(x)))
         return sorted([*best, *new])[:k]
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, best: list[tuple], k: int = K) -> list[tuple]:
-        """The k best of ``best`` ((-score, has an id, id) so far, sorted) and this shard's documents. terms: places in names."""
+    def search(self, terms: np.ndarray, weights: np.ndarray, best: list[tuple], k: int = K, floor: float = 0.0) -> list[tuple]:
+        """The k best of ``best`` ((-score, has an id, id) so far, sorted) and this shard's documents. terms: places in names.
+        Documents below ``floor`` may be left out."""
         sizes = self.run_edges[terms + 1] - self.run_edges[terms]
         runs, weight = _ranges(self.run_edges[terms], sizes), np.repeat(weights, sizes)
-        block, most = self.run_block[runs], self.run_most[runs] * weight
+        block, most = self.run_block.take(runs), self.run_most.take(runs) * weight
         bound = np.bincount(block, weights=most, minlength=self.blocks) * (1 + ROOM)
         left = bound > 0
         self.met += int(self.df[terms].sum())
@@ -195,22 +198,21 @@ class Shard:
         def added(own: np.ndarray) -> np.ndarray:
             """Scores of all documents by the postings of these runs."""
             some = runs[own]
-            start = self.run[some]
-            size = self.run[some + 1] - start
-            posting = _ranges(start, size)
+            size = self.run_size.take(some)
+            posting = _ranges(self.run.take(some), size)
             self.read += len(posting)
-            return np.bincount(self.doc[posting], weights=self.impact[posting] * np.repeat(weight[own].astype(np.float32), size), minlength=len(self.ids))
+            return np.bincount(self.doc.take(posting), weights=self.impact.take(posting) * np.repeat(weight[own].astype(np.float32), size), minlength=len(self.ids))
 
         def least() -> float:
-            return -best[-1][0] if len(best) == k else 0.0
+            return max(floor, -best[-1][0]) if len(best) == k else floor
 
-        if len(best) < k:
+        if len(best) < k and not floor:
             # the blocks of the best bounds give a first k-th score
             top = np.zeros(self.blocks, bool)
             top[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
             score = added(top[block])
             least_here = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
-            best = self._scored(np.flatnonzero((score >= least_here * (1 - ROOM)) & (score > 0)), best, k)
+            best = self._scored(np.flatnonzero((score >= least_here * (1 - ROOM)) & (score > 0)), best, k, floor)
             left &= ~top
         left &= bound >= least()
         if left.any():
@@ -230,8 +232,11 @@ class Shard:
                     self.looked += len(on) * len(cheap)
                     for at in range(0, len(on), 4096):
                         score[at : at + 4096] += self.rows[on[at : at + 4096, None], row[cheap]] @ weights[cheap].astype(np.float32)
-                least_here = max(least(), np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0)
-                best = self._scored(on[(score >= least_here * (1 - ROOM)) & (score > 0)], best, k)
+                good = score >= least() * (1 - ROOM)
+                on, score = on[good], score[good]
+                if len(score) > k:
+                    on = on[score >= np.partition(score, len(score) - k)[len(score) - k] * (1 - ROOM)]
+                best = self._scored(on, best, k, floor)
         self.weight[terms] = 0.0
         return best
 
@@ -303,14 +308,14 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_docs: int = SHAR
         return empty.select("query_id", F.lit(0).alias("rank"), "doc_id", "score")
     queries = docs.where(is_query).select("doc_id", "text")
     files = max(1, math.ceil(queries.count() / QUERY_FILE))
-    terms, _ = write_table(query_terms(queries, catalogue, sums["docs"]).repartition(files), "queries")
-    blocks, mean = terms.inputFiles(), sums["length"] / sums["docs"]
-    if not blocks:
+    terms, _ = write_table(query_terms(queries, catalogue, sums["docs"]).withColumn("floor", F.lit(0.0)).repartition(files), "queries")
+    mean = sums["length"] / sums["docs"]
+    if not terms.inputFiles():
         return empty.select("query_id", F.lit(0).alias("rank"), "doc_id", "score")
     # a few shards and a file of queries are a task: the k-th score so far prunes in the next shard
-    group = F.pmod(F.xxhash64("uri"), F.lit(max(1, math.ceil(shards.count() / SHARDS_A_TASK))))
-    jobs = shards.groupBy(group.alias("group")).agg(F.sort_array(F.collect_list("uri")).alias("uris"))
-    jobs, _ = write_table(jobs.select("uris", F.explode(F.array(*[F.lit(b) for b in blocks])).alias("block")), "search-jobs")
+    groups = max(1, math.ceil(shards.count() / SHARDS_A_TASK))
+    listed = shards.groupBy(F.pmod(F.xxhash64("uri"), F.lit(groups)).alias("group")).agg(F.sort_array(F.collect_list("uri")).alias("uris"))
+    listed, _ = write_table(listed, "search-shards")
 
     def run(batches):
         import pyarrow as pa
@@ -321,7 +326,7 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_docs: int = SHAR
                 fs, path = filesystem(block)
                 with fs.open_input_file(path) as handle:
                     queries = pq.read_table(handle)
-                keys, ids, lists = queries.column("query_key").to_pylist(), queries.column("query_id").to_pylist(), queries.column("terms").combine_chunks()
+                keys, ids, floor, lists = *(queries.column(c).to_pylist() for c in ("query_key", "query_id", "floor")), queries.column("terms").combine_chunks()
                 flat = lists.flatten()
                 weights, edges = flat.field(1).to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).tolist()
                 known: dict[bytes, int] = {}
@@ -335,12 +340,22 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_docs: int = SHAR
                     for q in range(len(keys)):
                         t = own[edges[q] : edges[q + 1]]
                         if (t >= 0).any():
-                            best[q] = shard.search(t[t >= 0], weights[edges[q] : edges[q + 1]][t >= 0], best[q], k)
+                            best[q] = shard.search(t[t >= 0], weights[edges[q] : edges[q + 1]][t >= 0], best[q], k, floor[q])
                 rows = [(keys[q], ids[q], has, i, -s) for q, b in enumerate(best) for s, has, i in b]
                 if rows:
                     key, query, has, doc, score = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(query, pa.int64()), pa.array(np.array(doc, np.int64), mask=~np.array(has, bool)), pa.array(score, pa.float64())], names=["query_key", "query_id", "doc_id", "score"])
 
-    found = jobs.repartition(max(1, jobs.count())).mapInArrow(run, schema)
+    def found_in(some: DataFrame, terms: DataFrame) -> DataFrame:
+        jobs, _ = write_table(some.select("uris", F.explode(F.array(*[F.lit(b) for b in terms.inputFiles()])).alias("block")), "search-jobs")
+        return jobs.repartition(max(1, jobs.count())).mapInArrow(run, schema)
+
+    # the first shards give every query a k-th score, a floor for all others
+    start = listed.agg(F.min("group")).first()[0]
+    found, _ = write_table(found_in(listed.where(F.col("group") == start), terms), "search-first")
+    if groups > 1:
+        floors = found.groupBy("query_key").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select("query_key", "kth")
+        raised, _ = write_table(terms.drop("floor").join(floors, "query_key", "left").select("query_key", "query_id", "terms", F.coalesce("kth", F.lit(0.0)).alias("floor")).repartition(files), "queries-raised")
+        found = found.unionByName(found_in(listed.where(F.col("group") != start), raised))
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
