@@ -6,18 +6,17 @@ Documents of a shard are ordered so that like ones are neighbours. Corpus statis
 and mean length of documents, document frequencies) are global, so scores do not depend on the
 shards.
 
-A few shards and a file of queries are one task. Postings of a term are cut into runs, one for each
-block of ``BLOCK`` documents, and every run of every term has its largest impact. In a shard a query
-adds these up to a bound for each block; blocks below the k-th score so far are skipped with all their
-postings. Its terms are then parted as at the pivot of WAND: frequent ones that together stay
-below a share of the k-th score cannot carry a document on their own. Only the others'
-postings, in the blocks that are left, are read; a document goes on if what it has by these and the
-frequent terms' bound of its block reach the k-th score; and only documents that go on are scored in
-full, from their own terms, best bound first. All steps are over whole arrays of a shard, as a
-cursor that moves from document to document would be a Python loop. The first group of shards gives
-every query a k-th score, which all other groups start from. Bounds have room for the error of single
-precision; what can be among the best gets an exact sum, rounded once, so scores are the same numbers
-however documents are dealt, and tasks' results merge exactly by score, then doc_id.
+A few shards and a file of queries are one task, and a shard meets a batch of queries at a time, as a
+cursor that moves from document to document would be a Python loop. The most frequent terms of a
+shard (they hold six of seven postings that queries meet) are kept by block of ``BLOCK`` documents, with the
+largest impact of each term in each block. A query adds up the postings of its other terms; a
+block is then bounded by its best document so far and the largest impacts of the frequent terms in
+it, and only blocks whose bound reaches the k-th score are read: block-max WAND with the blocks of
+all queries of a batch side by side, so that a block that several queries reach is read once for them.
+The first k-th score comes from the blocks of the best bounds, and the first group of shards gives every
+query a k-th score from which all other groups start. Bounds have room for the error of single precision;
+what can be among the best gets an exact sum, rounded once, so scores are the same numbers however
+documents are dealt, and tasks' results merge exactly by score, then doc_id.
 
 Words: runs of letters and digits, lower-cased. Documents that share no word with a query are
 no hits. Null and empty texts have no words: they are neither found nor find anything. Very long
@@ -46,9 +45,9 @@ from .tokenbin import filesystem
 
 K, K1, B = 10, 1.2, 0.75
 SHARD_DOCS, BLOCK, QUERY_FILE, SHARDS_A_TASK = 10_000, 64, 2048, 8
-#: Blocks of the best bounds that give the first k-th score; most frequent terms of a shard, whose impacts can be looked up by
-#: document; the part of the k-th score that those of them may reach which are not read; room for single precision's error.
-FIRST_BLOCKS, FREQUENT, PIVOT, ROOM = 4, 512, 0.5, 1e-5
+#: Blocks of the best bounds that give the first k-th score; frequent terms of a shard; queries of a batch; room for the error of
+#: sums in single precision (2^-24 for each of the frequent terms, at most).
+FIRST_BLOCKS, FREQUENT, BATCH, ROOM = 4, 512, 256, 1e-4
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -134,29 +133,23 @@ class Shard:
         self.k1, self.norm = k1, k1 * (1 - b + b * length / mean_length) if mean_length else np.ones(len(length))
         n = len(self.ids)
         self.impact = (self.tf * (k1 + 1) / (self.tf + self.norm[self.doc])).astype(np.float32)
-        self.blocks = -(-n // BLOCK)
-        block, self.df, edges = self.doc // BLOCK, df.astype(np.int64), np.concatenate(([0], np.cumsum(df, dtype=np.int64)))
-        first = np.ones(len(block), bool)
-        first[1:] = block[1:] != block[:-1]
-        first[edges[:-1]] = True
-        start = np.flatnonzero(first)
-        self.run_block, self.run_most = block[start].astype(np.int64), np.maximum.reduceat(self.impact, start) if len(start) else self.impact
-        self.run_edges, self.run, self.run_size = np.searchsorted(start, edges), start, np.diff(np.append(start, len(block)))
-        self.most = np.maximum.reduceat(self.run_most, self.run_edges[:-1]) if len(df) else self.impact
-        # frequent terms by document too
+        self.df, self.edges = df.astype(np.int64), np.concatenate(([0], np.cumsum(df, dtype=np.int64)))
+        # frequent terms by block, and their largest impact in each
         often = np.argsort(-self.df, kind="stable")[:FREQUENT]
-        self.row = np.full(len(df), -1)
+        self.row, self.blocks = np.full(len(df), -1), max(1, -(-n // BLOCK))
         self.row[often] = np.arange(len(often))
-        self.rows = np.zeros((n, len(often)), np.float32)
+        self.rows = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
         for k, t in enumerate(often.tolist()):
-            self.rows[self.doc[edges[t] : edges[t + 1]], k] = self.impact[edges[t] : edges[t + 1]]
+            self.rows[self.doc[self.edges[t] : self.edges[t + 1]], k] = self.impact[self.edges[t] : self.edges[t + 1]]
+        self.rows = self.rows.reshape(self.blocks, BLOCK, -1)
+        self.most = self.rows.max(1)
         # all postings by document
         order = np.argsort(self.doc, kind="stable")
         self.doc_edges = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=n))))
         self.doc_term, self.doc_tf = np.repeat(np.arange(len(df), dtype=np.int32), df)[order], self.tf[order]
         self.weight = np.zeros(len(df))
-        #: Postings of the queries' terms; those that were read by term; impacts looked up; postings read by document.
-        self.met = self.read = self.looked = self.full = 0
+        #: Blocks that hold a word of a query, and those that were read.
+        self.met = self.read = 0
 
     def _scored(self, docs: np.ndarray, best: list[tuple], k: int, floor: float) -> list[tuple]:
         """``best`` after these documents, by the weights of the query at work."""
@@ -165,7 +158,6 @@ class Shard:
         weight = self.weight.take(self.doc_term.take(at))
         hit = np.flatnonzero(weight)
         at, of, weight = at.take(hit), of.take(hit), weight.take(hit)
-        self.full += len(at)
         tf = self.doc_tf[at]
         part = tf * (self.k1 + 1) / (tf + self.norm[docs][of]) * weight
         score = np.bincount(of, weights=part, minlength=len(docs))
@@ -184,61 +176,54 @@ class Shard:
             new.append((-sums, x != self.null, int(x)))
         return sorted([*best, *new])[:k]
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, best: list[tuple], k: int = K, floor: float = 0.0) -> list[tuple]:
-        """The k best of ``best`` ((-score, has an id, id) so far, sorted) and this shard's documents. terms: places in names.
-        Documents below ``floor`` may be left out."""
-        sizes = self.run_edges[terms + 1] - self.run_edges[terms]
-        runs, weight = _ranges(self.run_edges[terms], sizes), np.repeat(weights, sizes)
-        block, most = self.run_block.take(runs), self.run_most.take(runs) * weight
-        bound = np.bincount(block, weights=most, minlength=self.blocks) * (1 + ROOM)
-        left = bound > 0
-        self.met += int(self.df[terms].sum())
-        self.weight[terms] = weights
-
-        def added(own: np.ndarray) -> np.ndarray:
-            """Scores of all documents by the postings of these runs."""
-            some = runs[own]
-            size = self.run_size.take(some)
-            posting = _ranges(self.run.take(some), size)
-            self.read += len(posting)
-            return np.bincount(self.doc.take(posting), weights=self.impact.take(posting) * np.repeat(weight[own].astype(np.float32), size), minlength=len(self.ids))
-
-        def least() -> float:
-            return max(floor, -best[-1][0]) if len(best) == k else floor
-
-        if len(best) < k and not floor:
-            # the blocks of the best bounds give a first k-th score
-            top = np.zeros(self.blocks, bool)
-            top[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-            score = added(top[block])
-            least_here = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
-            best = self._scored(np.flatnonzero((score >= least_here * (1 - ROOM)) & (score > 0)), best, k, floor)
-            left &= ~top
-        left &= bound >= least()
-        if left.any():
-            reach, row = weights * self.most[terms], self.row[terms]
-            cheap = np.argsort(np.where(row >= 0, reach / self.df[terms], np.inf), kind="stable")
-            cheap = cheap[(np.cumsum(reach[cheap]) <= PIVOT * least()) & (row[cheap] >= 0)]
-            read = np.ones(len(terms), bool)
-            read[cheap] = False
-            own = np.repeat(read, sizes)
-            rest = np.bincount(block[~own], weights=most[~own], minlength=self.blocks)
-            score = added(own & left[block])
-            ceiling = (score + np.repeat(rest, BLOCK)[: len(score)]) * (1 + ROOM)
-            on = np.flatnonzero((ceiling >= least()) & (ceiling > 0) & np.repeat(left, BLOCK)[: len(score)])
-            if len(on):
-                score = score[on]
-                if len(cheap):
-                    self.looked += len(on) * len(cheap)
-                    for at in range(0, len(on), 4096):
-                        score[at : at + 4096] += self.rows[on[at : at + 4096, None], row[cheap]] @ weights[cheap].astype(np.float32)
-                good = score >= least() * (1 - ROOM)
-                on, score = on[good], score[good]
-                if len(score) > k:
-                    on = on[score >= np.partition(score, len(score) - k)[len(score) - k] * (1 - ROOM)]
-                best = self._scored(on, best, k, floor)
-        self.weight[terms] = 0.0
-        return best
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: list[list[tuple]], floor: list[float], k: int = K) -> list[list[tuple]]:
+        """For each query (places of its terms in names, weights) the k best of its ``best`` ((-score, has an id, id) so far,
+        sorted) and this shard's documents. Documents below its ``floor`` may be left out."""
+        n, m = self.blocks * BLOCK, len(queries)
+        score, weight = np.zeros((m, n), np.float32), np.zeros((m, self.rows.shape[2]), np.float32)
+        for q, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            weight[q, row[row >= 0]] = weights[row >= 0]
+            terms, weights = terms[row < 0], weights[row < 0]
+            size = self.df[terms]
+            posting = _ranges(self.edges[terms], size)
+            score[q] = np.bincount(self.doc.take(posting), weights=self.impact.take(posting) * np.repeat(weights.astype(np.float32), size), minlength=n)
+        score = score.reshape(m, self.blocks, BLOCK)
+        bound = (score.max(2) + weight @ self.most.T) * (1 + ROOM)
+        done = np.zeros((m, self.blocks), bool)
+
+        def read(want: np.ndarray) -> None:
+            """Add the frequent terms in these blocks (query, block)."""
+            for b in np.flatnonzero(want.any(0)).tolist():
+                q = np.flatnonzero(want[:, b])
+                score[q, b] += weight[q] @ self.rows[b].T
+            done[want] = True
+
+        least = np.array([max(f, -x[-1][0]) if len(x) == k else f for f, x in zip(floor, best, strict=True)])
+        cold = np.flatnonzero(least == 0)
+        if len(cold):
+            top, want = np.argsort(-bound[cold], axis=1, kind="stable")[:, :FIRST_BLOCKS], np.zeros_like(done)
+            want[cold[:, None], top] = True
+            read(want & (bound > 0))
+            known = score[cold[:, None], top].reshape(len(cold), -1)
+            if known.shape[1] >= k:
+                least[cold] = np.maximum(0, np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k] * (1 - ROOM))
+        read((bound >= least[:, None]) & (bound > 0) & ~done)
+        self.met, self.read = self.met + int(np.count_nonzero(bound)), self.read + int(np.count_nonzero(done))
+        score[~done] = 0
+        out = []
+        for q, (terms, weights) in enumerate(queries):
+            near = np.flatnonzero((score[q] >= least[q] * (1 - ROOM)) & (score[q] > 0))
+            if len(near) > k:
+                own = score[q].ravel()[near]
+                near = near[own >= np.partition(own, len(own) - k)[len(own) - k] * (1 - ROOM)]
+            if len(near):
+                self.weight[terms] = weights
+                out.append(self._scored(near, best[q], k, floor[q]))
+                self.weight[terms] = 0.0
+            else:
+                out.append(best[q])
+        return out
 
 
 def build(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
@@ -337,10 +322,9 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_docs: int = SHAR
                     here = np.fromiter((known.get(x, -1) for x in shard.names), np.int64, len(shard.names))
                     local[here[here >= 0]] = np.flatnonzero(here >= 0)
                     own = local[place]
-                    for q in range(len(keys)):
-                        t = own[edges[q] : edges[q + 1]]
-                        if (t >= 0).any():
-                            best[q] = shard.search(t[t >= 0], weights[edges[q] : edges[q + 1]][t >= 0], best[q], k, floor[q])
+                    for at in range(0, len(keys), BATCH):
+                        some = [(own[a:z], weights[a:z]) for a, z in itertools.pairwise(edges[at : at + BATCH + 1])]
+                        best[at : at + BATCH] = shard.search([(t[t >= 0], w[t >= 0]) for t, w in some], best[at : at + BATCH], floor[at : at + BATCH], k)
                 rows = [(keys[q], ids[q], has, i, -s) for q, b in enumerate(best) for s, has, i in b]
                 if rows:
                     key, query, has, doc, score = zip(*rows, strict=True)

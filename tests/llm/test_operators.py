@@ -460,8 +460,8 @@ def test_search_prunes_exactly(spark):
     assert Counter((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in got) == brute_search([tuple(r) for r in docs.select("doc_id", "text").collect()], 5)
 
 
-def test_search_skips_postings(tmp_path):
-    """What a search reads on the corpus, once it has a k-th score, against all postings of its terms."""
+def test_search_skips_blocks(tmp_path):
+    """The blocks that searches read on the corpus once they have a k-th score, against all that hold one of their words."""
     import pyarrow.parquet as pq
 
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
@@ -471,22 +471,20 @@ def test_search_skips_postings(tmp_path):
         df.update(topk.words(t).keys())
     topk.save(f"file://{tmp_path}/x.idx", own.arrays())
     shard = topk.Shard(f"file://{tmp_path}/x.idx", sum(sum(topk.words(t).values()) for _, t in docs) / len(docs))
-    place, n, met, read = {w: k for k, w in enumerate(shard.names)}, len(docs), 0, 0
+    place, n, queries = {w: k for k, w in enumerate(shard.names)}, len(docs), []
     for _, text in docs[::20]:
-        terms = topk.words(text)
-        if not terms:
-            continue
-        at = np.array([place[w.encode()] for w in terms])
-        weights = np.array([math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c for w, c in terms.items()])
-        best = shard.search(at, weights, [], 10)
-        if len(best) < 10:
-            continue
-        # as if another shard had ten documents of the k-th score: only what is better comes up
-        cold = shard.met, shard.read
-        warm = shard.search(at, weights, [(best[-1][0], True, k - 10**6) for k in range(10)], 10)
-        assert [b for b in warm if b[2] >= 0] == [b for b in best if b[0] < best[-1][0]]
-        met, read = met + shard.met - cold[0], read + shard.read - cold[1]
-    assert 0 < read < 0.6 * met
+        if terms := topk.words(text):
+            weights = [math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c for w, c in terms.items()]
+            queries.append((np.array([place[w.encode()] for w in terms]), np.array(weights)))
+    cold = shard.search(queries, [[] for _ in queries], [0.0] * len(queries))
+    before = shard.met, shard.read
+    # as if other shards had ten documents of the k-th score: only what is better comes up
+    full = [q for q, best in enumerate(cold) if len(best) == 10]
+    warm = shard.search([queries[q] for q in full], [[(cold[q][-1][0], True, k - 10**6) for k in range(10)] for q in full], [0.0] * len(full))
+    for q, best in zip(full, warm, strict=True):
+        assert [b for b in best if b[2] >= 0] == [b for b in cold[q] if b[0] < cold[q][-1][0]]
+    # blocks below the k-th score are not read
+    assert 0 < shard.read - before[1] < 0.75 * (shard.met - before[0])
 
 
 # op9
