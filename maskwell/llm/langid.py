@@ -4,7 +4,8 @@ A document's most frequent n-grams (1 to 3 letters, word ends marked) are ranked
 and compared with each language's ranked profile; an n-gram that a profile lacks costs the
 profile's full length. Null texts and texts without a letter are ``und`` with score 0; an
 empty training set makes every document ``und``. Ties go to the smallest language name.
-Rows pass through one by one, so repeated rows get equal results.
+Rows pass through one by one, so repeated rows get equal results, and very long texts count whole. Of
+other columns only ``lang`` is read, in training, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql.window import Window
 from .common import small_batches
 
 UND = "und"
+#: Beyond all letters, within 21 bits.
+END = 0x110000
 PROFILE_SIZE = 300
 #: Training documents per language, at most: those with the smallest hash of doc_id.
 MAX_TRAIN_DOCS = 2000
-MAX_LANGUAGES = 2000
 
 _LETTER: np.ndarray | None = None
 
@@ -37,20 +39,20 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """Codes of all 1-, 2- and 3-grams of a text: 21 bits a letter, 0 for a word end."""
+    """Codes of all 1-, 2- and 3-grams of a text: 21 bits a letter, ``END`` for a word end, so that no two n-grams share a code."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
     if not letter.any():
         return np.empty(0, np.uint64)
     before = np.concatenate(([False], letter[:-1]))
     kept = letter | before
-    codes = np.concatenate(([0], np.where(letter, points, 0)[kept], [0])).astype(np.uint64)
-    if codes[-2] == 0:
+    codes = np.concatenate(([END], np.where(letter, points, END)[kept], [END])).astype(np.uint64)
+    if codes[-2] == END:
         codes = codes[:-1]
     shift = np.uint64(21)
     two = (codes[:-1] << shift) | codes[1:]
     three = (two[:-1] << shift) | codes[2:]
-    return np.concatenate((codes[codes != 0], two, three[codes[1:-1] != 0]))
+    return np.concatenate((codes[codes != END], two, three[codes[1:-1] != END]))
 
 
 def ranked(codes: np.ndarray, size: int) -> np.ndarray:
@@ -90,15 +92,10 @@ def fit(labelled: DataFrame, size: int = PROFILE_SIZE, max_docs: int = MAX_TRAIN
     language, those with the smallest hashes of ``doc_id``. Collected: ``size`` n-grams per language."""
     small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null").select("doc_id", "lang", "text")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not totals:
-        return Profiles({}, size)
     # a share of the hash space that surely holds max_docs of each language, then exactly max_docs
-    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, (1.5 * max_docs + 100) / n))])
-    drawn = F.xxhash64("doc_id")
-    near = rows.withColumn("u", (F.shiftrightunsigned(drawn, 11)).cast("double") / float(1 << 53)).where(F.col("u") < F.element_at(share, F.col("lang")))
+    totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
+    drawn = rows.withColumn("u", (F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).cast("double") / float(1 << 53))
+    near = drawn.join(totals, "lang").where(F.col("u") * F.col("total") < 1.5 * max_docs + 100).drop("total")
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))).where(F.col("k") <= max_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -37,7 +37,7 @@ from .tokenbin import filesystem
 #: average and over 100 in less than one of 10^9 pairs; of the first 128 over 40 as rarely.
 SIMILAR, WORDS, RADIUS, EARLY_WORDS, EARLY_RADIUS = (4, 5), 8, 100, 2, 40
 #: Rows of a tile of signatures; rows and characters of text of a tile of sets; rows compared at a time.
-TILE, SET_TILE, SET_CHARS, STRIP = 8192, 2048, 1 << 24, 16
+TILE, SET_TILE, SET_CHARS, STRIP = 8192, 2048, 1 << 22, 16
 
 
 def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -182,8 +182,10 @@ def link_tiles(tiles: DataFrame, kind: type[Signatures] | type[Sets], similar: t
                 members = np.bincount(label, minlength=len(label))[label]
                 for c, v in (("label", pa.array(label, pa.int32())), ("head", pa.array(tile.key[label])), ("members", pa.array(members, pa.int64()))):
                     table = table.append_column(c, v)
-                for c in table.combine_chunks().to_batches(max_chunksize=1024):
+                for c in table.to_batches(max_chunksize=256):
                     yield c.select(schema.names)
+                del table, tile
+                pa.default_memory_pool().release_unused()
 
     labelled, path = write_table(spark.range(0, len(files), 1, len(files)).mapInArrow(own, schema), f"{name}-own")
     bounds = [F.struct(*kind.REACH), F.input_file_name()]
@@ -206,6 +208,8 @@ def link_tiles(tiles: DataFrame, kind: type[Signatures] | type[Sets], similar: t
                     moved = np.unique(before[label != before])
                     if len(moved):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[label[moved]])], names=["a", "b"])
+                    del two
+                pa.default_memory_pool().release_unused()
 
     # nodes of these links are components of tiles; each stands for at most a tile's rows
     top = components(spark.range(0, len(reach), 1, len(reach)).mapInArrow(across, "a long, b long"))

@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Words remembered in a Python worker: two generations of so many; the older one goes when the younger is full.
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 _FAMILIAR = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ–—‘’“”…€]*")
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 #: The splitters of the two supported kinds, for familiar characters; the most frequent choice comes first.

@@ -183,22 +183,63 @@ def test_language(docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
-def test_grams_and_distance_against_plain_python():
-    text = "Ab, ab c"
-    runs = ["", "ab", "ab", "c", ""]
-    want = Counter()
-    padded = "_" + "_".join(runs[1:-1]) + "_"
-    for n in (1, 2, 3):
-        for k in range(len(padded) - n + 1):
-            g = padded[k : k + n]
-            if (n == 1 and g == "_") or (n == 3 and g[1] == "_"):
-                continue
-            want[g] += 1
-    code = lambda g: sum((0 if c == "_" else ord(c)) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
-    got = Counter(langid.grams(text).tolist())
-    assert got == Counter({code(g): n for g, n in want.items()}) or sum(got.values()) == sum(want.values())
-    p = langid.Profiles({"x": [1, 2, 3], "y": [3, 2, 1]}, 3)
-    assert p.predict("")[0] == "und"
+def brute_grams(text):
+    """All 1-, 2- and 3-grams of runs of letters, each run between word ends; no word end alone or within."""
+    out, run = Counter(), ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            run += c
+            continue
+        if run:
+            padded = f"_{run}_"
+            out.update(run)
+            out.update(padded[k : k + 2] for k in range(len(padded) - 1))
+            out.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        run = ""
+    return out
+
+
+def gram_code(g):
+    return sum((langid.END if c == "_" else ord(c)) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+
+
+def brute_rank(counts, size):
+    return [g for _, g in sorted((-n, gram_code(g)) for g, n in counts.items())[:size]]
+
+
+def brute_language(text, profiles, size):
+    """Out-of-place distance to each profile; (language, score)."""
+    own = brute_rank(brute_grams(text), size)
+    if not own or not profiles:
+        return "und", 0.0
+    away = {}
+    for lang, profile in profiles.items():
+        place = {g: k for k, g in enumerate(profile)}
+        away[lang] = sum(abs(place[g] - k) if g in place else size for k, g in enumerate(own))
+    best = min(sorted(away), key=away.get)
+    return best, 1 - away[best] / (size * len(own))
+
+
+def test_grams_against_plain_python():
+    for text in ("a", "Ab, ab c", "", "12 !", "x1y  É\u0130z", "日本語 a", "the cat"):
+        got = Counter(langid.grams(text).tolist())
+        assert got == Counter({gram_code(g): n for g, n in brute_grams(text).items()}), text
+    assert len({gram_code(g) for g in ("a", "_a", "a_", "_a_", "aa", "a_a")}) == 6
+
+
+def test_language_against_plain_python(docs):
+    train, size = defaultdict(Counter), 50
+    for r in rows():
+        if r[2] is not None:
+            train[r[2]].update(brute_grams(r[1] or ""))
+    want = {lang: brute_rank(c, size) for lang, c in train.items() if c}
+    profiles = langid.fit(docs, size)
+    assert profiles.langs == sorted(want)
+    for lang, ranks in want.items():
+        k = profiles.langs.index(lang)
+        assert [profiles.ranks[np.searchsorted(profiles.grams, g), k] for g in ranks] == list(range(len(ranks)))
+    for r in rows():
+        assert profiles.predict(r[1]) == pytest.approx(brute_language(r[1] or "", want, size))
 
 
 def test_held_out_accuracy(spark):
