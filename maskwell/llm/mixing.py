@@ -8,9 +8,10 @@ target, and the few slots by which the schedule is short of a source follow at i
 source's taken tokens equal its rounded target.
 
 Sizes are word counts; null and empty texts have size 0 and are never taken. Null is a source
-of its own, sorted last. Repeated rows are documents of their own. Empty tables give no rows.
-Sources are counted first; more than ``MAX_SOURCES`` raise an error, as weights are a table
-on the driver. Everything else is keyed by (source, bucket) or (source, block): no source,
+of its own, sorted last. Repeated rows are documents of their own. Very long texts fill several
+blocks. Ties in the seeded order go by doc_id, then row. Columns of any name pass through
+``mixed_documents``. Empty tables give no rows. The driver holds a row for each source (its size,
+target and quota). Everything else is keyed by (source, bucket) or (source, block): no source,
 however large, meets in one task.
 """
 
@@ -32,8 +33,9 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 BLOCK = 1024
 #: Slots per unit of the schedule; documents per bucket of a source's order.
-CHUNK, BUCKET = 1 << 16, 20_000
-MAX_SOURCES = 100_000
+CHUNK, BUCKET = 1 << 16, 4_000
+#: The sources' table is broadcast up to this many rows, else joined.
+BROADCAST_SOURCES = 100_000
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -123,15 +125,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def mix_rows(rows: DataFrame, weights: Sequence[float], share: float, cap: float, block: int) -> Mix:
     spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(found))], share, cap)
     whole = [min(round(t), math.floor(cap * n)) for t, n in zip(goal, sizes, strict=True)]
     table = spark.createDataFrame([(k, r["source"], n, t, w) for k, (r, n, t, w) in enumerate(zip(found, sizes, goal, whole, strict=True))], "k int, name string, source_size long, target double, whole long")
-    marked = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["name"])).drop("name")
+    table = F.broadcast(table) if len(found) <= BROADCAST_SOURCES else table
+    marked = rows.join(table, rows["source"].eqNullSafe(table["name"])).drop("name")
     buckets = max(1, math.ceil(sum(r["docs"] for r in found) / BUCKET))
     # place of each document in its source's stream: within its bucket of the hash order, then the buckets before it
     marked = marked.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 11)).cast("double") / float(1 << 53) * buckets).cast("long"))
@@ -149,22 +150,24 @@ def mix_rows(rows: DataFrame, weights: Sequence[float], share: float, cap: float
 
 
 def taken_words(mixed: Mix) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
-    sums = mixed.taken.groupBy("row_key").agg(F.sum("words").alias("taken"))
-    return mixed.docs.join(sums, "row_key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """doc_id, size, source_size, target, taken and first_slot (the schedule's slot in which it comes first; null: never)
+    of every document."""
+    sums = mixed.taken.groupBy("row_key").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    return mixed.docs.join(sums, "row_key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
-    """The documents that the mix takes, with the columns of ``docs``: a row each time one is taken, its text cut
-    (after whole words, joined by spaces) where its source's target ends within it. n_chars, if there, follows."""
+    """The documents that the mix takes, with the columns of ``docs``, in the order of the schedule (of the slots in which they
+    begin): a row each time one is taken, its text cut (after whole words, joined by spaces) where its source's target ends
+    within it. n_chars, if there, follows."""
     key, size = temp_name(docs, "row_key"), temp_name(docs, "size")
     kept, _ = write_table(docs.withColumns({key: F.monotonically_increasing_id(), size: word_count(F.col("text"))}), "mix-full")
     rows = kept.select(F.col(key).alias("row_key"), "doc_id", "source", F.col(size).alias("size")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
     mixed = mix_rows(rows, weights, share, cap, block)
-    n = temp_name(kept, "taken")
-    takes = mixed.taken.groupBy("row_key", "epoch").agg(F.sum("words").alias(n)).select(F.col("row_key").alias(key), n)
+    n, slot = temp_name(kept, "taken"), temp_name(kept, "slot")
+    takes = mixed.taken.groupBy("row_key", "epoch").agg(F.sum("words").alias(n), F.min(F.struct("slot", "first_word", "row_key")).alias(slot)).select(F.col("row_key").alias(key), n, slot)
     text = F.when(F.col(n) < F.col(size), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col(n).cast("int")), " ")).otherwise(F.col("text"))
     out = kept.join(takes, key).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(n) < F.col(size), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.orderBy(slot).select(*[F.col(f"`{c}`") for c in docs.columns])

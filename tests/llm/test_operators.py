@@ -62,6 +62,65 @@ def test_mix(docs, block):
     assert len({s["slot"] for s in slots}) == len(slots)
 
 
+def brute_slots(quotas):
+    """{(source, block): slot} by exact golden-ratio points, one slot after the other."""
+    total, taken, out = sum(quotas), Counter(), {}
+    for i in range(total):
+        point = (i + 1) * mixing.GOLDEN % 2**64
+        k, edge = 0, quotas[0] * 2**64 // total
+        while k + 1 < len(quotas) and point >= edge:
+            k += 1
+            edge = sum(quotas[: k + 1]) * 2**64 // total
+        if taken[k] < quotas[k]:
+            out[k, taken[k]] = i
+        taken[k] += 1
+    for k, q in enumerate(quotas):
+        out |= {(k, b): total + b for b in range(min(taken[k], q), q)}
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 50])
+def test_mix_against_plain_python(docs, block):
+    mixed = mixing.mix(docs, block=block)
+    taken, size = mixed.taken.collect(), {r["row_key"]: r["size"] for r in mixed.docs.collect()}
+    words, found = Counter(), defaultdict(list)
+    for r in taken:
+        words[r["k"]] += r["words"]
+        found[r["k"]].append(r)
+    quotas = [math.ceil(words[k] / block) for k in range(len(mixed.sources))]
+    assert {(r["k"], r["block"]): r["slot"] for r in taken} == brute_slots(quotas)
+    for pieces in found.values():
+        # in the order of blocks: documents whole, one after the other, again in the same order, up to the target
+        pieces.sort(key=lambda r: (r["block"], r["epoch"]))
+        per_block = Counter()
+        for r in pieces:
+            per_block[r["block"]] += r["words"]
+        assert all(n == block for b, n in per_block.items() if b != max(per_block))
+        spans = defaultdict(list)
+        for r in pieces:
+            spans[r["epoch"], r["row_key"]].append((r["first_word"], r["words"]))
+        whole = 0
+        for (_, row), parts in spans.items():
+            parts.sort()
+            assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+            whole += sum(n for _, n in parts) == size[row]
+        assert whole >= len(spans) - 1
+        first = {row for epoch, row in spans if epoch == 0}
+        assert all(row in first for _, row in spans)
+
+
+def test_mix_keeps_the_order_of_the_schedule(docs):
+    mixed = mixing.mix(docs, block=20)
+    begins = {}
+    for r in mixed.taken.collect():
+        begins[r["row_key"], r["epoch"]] = min(begins.get((r["row_key"], r["epoch"]), (r["slot"], 0)), (r["slot"], r["first_word"]))
+    ids = {r["row_key"]: r["doc_id"] for r in mixed.docs.collect()}
+    want = [ids[row] for row, _ in sorted(begins, key=lambda x: (*begins[x], x[0]))]
+    got = [r["doc_id"] for r in mixing.mixed_documents(docs, block=20).collect()]
+    assert Counter(got) == Counter(want) and sum(a != b for a, b in zip(got, want, strict=True)) <= 4
+    assert [r["first_slot"] is None for r in mixing.taken_words(mixed).collect()] == [r["taken"] == 0 for r in mixing.taken_words(mixed).collect()]
+
+
 def test_mixed_documents(docs, no_docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
