@@ -60,6 +60,30 @@ _VERSIONED = [
     ("upl", "universal permissive", r"universal permissive licen[sc]e", ("1 0",)),
     ("mulan", " mulan ", r"mulan (?:permissive|public) software licen[sc]e", ("1", "2")),
 ]
+#: Short names: family, short name in words, versions. The version may be part of the word (gplv3).
+_SHORT = [
+    ("gpl", "gpl", ("1 0", "2 0", "3 0", "1", "2", "3")),
+    ("lgpl", "lgpl", ("2 0", "2 1", "3 0", "2", "3")),
+    ("agpl", "agpl", ("1 0", "3 0", "1", "3")),
+    ("gfdl", "gfdl", ("1 1", "1 2", "1 3")),
+    ("apache", "apache", ("1 0", "1 1", "2 0", "2")),
+    ("apache", "asl", ("1 1", "2 0")),
+    ("mpl", "mpl", ("1 0", "1 1", "2 0", "2")),
+    ("epl", "epl", ("1 0", "2 0", "1", "2")),
+    ("cddl", "cddl", ("1 0", "1 1")),
+    ("eupl", "eupl", ("1 0", "1 1", "1 2")),
+    ("osl", "osl", ("2 0", "2 1", "3 0")),
+    ("afl", "afl", ("2 0", "2 1", "3 0")),
+    ("artistic", "artistic", ("1 0", "2 0")),
+    ("bsl", "bsl", ("1 0",)),
+    ("ofl", "ofl", ("1 0", "1 1")),
+    ("lppl", "lppl", ("1 2", "1 3")),
+    ("cecill", "cecill", ("1 0", "2 0", "2 1")),
+    ("odbl", "odbl", ("1 0",)),
+    ("sspl", "sspl", ("1 0", "1")),
+    ("busl", "busl", ("1 0", "1 1")),
+    ("zpl", "zpl", ("2 0", "2 1")),
+]
 #: Licenses without versions: label, keyword, name.
 _PLAIN = [
     ("mit", " mit licen", r"(?:the )?mit licen[sc]e"),
@@ -82,6 +106,28 @@ _PLAIN = [
     ("cc0", " cc0 ", r"cc0(?: 1 0)?(?: universal)?"),
     ("pddl", "public domain dedication", r"public domain dedication and licen[sc]e"),
     ("llama", " llama ", r"llama(?: 2| 3)? community licen[sc]e"),
+    ("bsd-2-clause", "bsd", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd)"),
+    ("bsd-3-clause", "bsd", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd|(?:new|revised|modified) bsd)"),
+    ("bsd-4-clause", "bsd", r"(?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)"),
+    ("mit", " mit", r"(?:mit licensed|mit x11|mit style licen[sc]e)"),
+    ("bsd", " bsd", r"(?:bsd licensed|bsd style licen[sc]e)"),
+    ("isc", " isc licensed", r"isc licensed"),
+    ("ms-pl", " ms pl", r"ms pl"),
+    ("ms-rl", " ms rl", r"ms rl"),
+    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[sc]e"),
+    ("curl", " curl licen", r"curl licen[sc]e"),
+    ("libpng", " libpng licen", r"libpng licen[sc]e"),
+    ("freetype", "freetype", r"freetype (?:project )?licen[sc]e"),
+    ("ijg", "independent jpeg", r"independent jpeg group(?: s)? (?:licen[sc]e|software)"),
+    ("unicode", " unicode licen", r"unicode licen[sc]e(?: agreement)?"),
+    ("icu", " icu licen", r"icu licen[sc]e"),
+    ("sleepycat", "sleepycat", r"sleepycat licen[sc]e"),
+    ("perl", "perl", r"(?:same terms as perl|perl artistic licen[sc]e)"),
+    ("blueoak", "blue oak", r"blue oak model licen[sc]e"),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|strict|shield|perimeter) licen[sc]e"),
+    ("commons-clause", "commons clause", r"commons clause"),
+    ("fair-source", "fair source", r"fair source licen[sc]e"),
+    ("json", "json licen", r"(?:the )?json licen[sc]e"),
 ]
 #: Creative Commons: label, short name in words, long name.
 _CC = [
@@ -131,6 +177,34 @@ _NOTICES = [
     ("license-mention", "licen", MENTION, r"terms of (?:the|this) licen[sc]e"),
     ("license-mention", "open source", MENTION, r"open source licen[sc]e"),
     ("terms", " terms ", MENTION, r"terms (?:of (?:use|service)|and conditions)"),
+    ("apache-2.0", "apache org licen", TAG, r"apache org licen[sc]es licen[sc]e 2 0"),
+    ("mpl-2.0", "mozilla org mpl", TAG, r"mozilla org mpl 2 0"),
+    ("gpl", "gnu org licen", MENTION, r"gnu org licen[sc]es(?: gpl(?: [23] 0)?)?"),
+    ("lgpl", "lesser", NOTICE, r"you should have received a copy of the gnu lesser general public licen[sc]e"),
+    ("gpl", "general public", NOTICE, r"you should have received a copy of the gnu general public licen[sc]e"),
+    ("agpl", "affero", NOTICE, r"under the terms of the gnu affero general public licen[sc]e"),
+    ("mit", "above copyright notice and this permission", NOTICE, r"the above copyright notice and this permission notice (?:\S+ ){0,4}?shall be included in all copies"),
+    ("bsd", "redistributions of source code", NOTICE, r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form", NOTICE, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("apache-2.0", "unless required by applicable law", NOTICE, r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("zlib", "altered source versions", NOTICE, r"altered source versions must be plainly marked as such"),
+    ("bsl-1.0", "machine executable object code", NOTICE, r"solely in the form of machine executable object code generated by a source language processor"),
+    ("cc0", "waived all copyright", NOTICE, r"waived all copyright and related or neighboring rights"),
+    ("cc", "creative commons", NAME, r"licensed under a creative commons"),
+    ("unlicense", "anyone is free", NOTICE, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("gpl-linking-exception", "exception", TAG, r"as a special exception (?:\S+ ){0,30}?link"),
+    ("classpath-exception", "classpath", TAG, r"classpath exception"),
+    ("dual-license", " licensed", TAG, r"(?:dual|tri|multi) licensed"),
+    ("no-derivatives", "derivative", TAG, r"no derivative works"),
+    ("attribution", "attribution", MENTION, r"attribution (?:is )?required"),
+    ("royalty-free", "royalty", TAG, r"(?:perpetual )?(?:worldwide )?(?:non exclusive )?(?:no charge )?royalty free"),
+    ("proprietary", "internal use", NAME, r"for internal use only"),
+    ("proprietary", "trade secret", TAG, r"trade secrets? of"),
+    ("reserved", "reserves all rights", NAME, r"reserves all rights"),
+    ("copyright", "copyright", TAG, r"copyrighted (?:material|work|by)"),
+    ("copyright", "copyright", TAG, r"protected by copyright(?: law| laws)?"),
+    ("evaluation", "evaluation", TAG, r"for evaluation purposes only"),
+    ("research-use", "research", TAG, r"for (?:non commercial )?research (?:purposes|use) only"),
 ]
 
 
@@ -144,6 +218,13 @@ def rules() -> list[tuple[str, str, int, str]]:
             out.append((f"{tag}-or-later", keyword, NOTICE, f"{name} {_V}{v} or (?:at your option )?(?:any )?(?:later|newer)(?: version)?"))
         out.append((label, keyword, TAG, f"{_GRANT}{name}"))
         out.append((label, keyword, MENTION, name))
+    for family, short, versions in _SHORT:
+        for v in versions:
+            tag = f"{family}-{v.replace(' ', '.')}"
+            out.append((tag, f" {short}", NAME, f"(?:gnu )?{short} ?v? ?{v}(?: only)?"))
+            out.append((f"{tag}-or-later", f" {short}", NOTICE, f"(?:gnu )?{short} ?v? ?{v} or (?:at your option )?(?:any )?(?:later|newer)(?: version)?"))
+        if short not in ("apache", "artistic", "asl"):
+            out.append((family, f" {short}", MENTION, f"(?:gnu )?{short}"))
     for label, keyword, name in _PLAIN:
         out.append((label, keyword, NAME, f"{_GRANT}{name}"))
         out.append((label, keyword, MENTION if name.endswith("unlicense") else TAG, name))

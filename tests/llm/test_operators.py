@@ -339,23 +339,67 @@ def test_license_rules(spark):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
         norm = " " + " ".join(words) + " "
         spans = []
-        for label, keyword, priority, e in table:
-            if keyword in norm:
-                for m in re.finditer(f" (?:{e})(?= )", norm):
-                    spans.append((norm[: m.start()].count(" "), norm[: m.end()].count(" ") - 1, priority, label))
+        for label, _, priority, e in table:
+            for m in re.finditer(f" (?:{e})(?= )", norm):
+                spans.append((norm[: m.start()].count(" "), norm[: m.end()].count(" ") - 1, priority, label))
         want = [s for s in spans if not any(t != s and t[0] <= s[0] and s[1] <= t[1] and t[2] >= s[2] and ((t[:3] != s[:3]) or t[3] < s[3]) for t in spans)]
         assert sorted((s["start"], s["end"], s["priority"], s["label"]) for s in got[k]["detections"]) == sorted(set(want))
     assert {"gpl-2.0-or-later"} <= {s["label"] for s in got[0]["detections"]}
 
 
-def test_license_keywords_are_part_of_their_rules(spark):
-    texts = [
-        ("proprietary", "Unauthorized copying of this file, via any medium is strictly prohibited"),
-        ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed"),
-    ]
-    got = {r["doc_id"]: {s["label"] for s in r["detections"]} for r in licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
-    for k, (label, _) in enumerate(texts):
-        assert label in got[k]
+def examples(expression, limit=400):
+    """Texts that an expression matches: every branch, repeats at their least and one more, classes by one member."""
+    import re._constants as c
+    import re._parser as parser
+
+    def of(parsed):
+        texts = [""]
+        for kind, value in parsed:
+            if kind is c.LITERAL:
+                one = [chr(value)]
+            elif kind is c.BRANCH:
+                one = [t for b in value[1] for t in of(b)]
+            elif kind is c.SUBPATTERN:
+                one = of(value[3])
+            elif kind in (c.MAX_REPEAT, c.MIN_REPEAT):
+                least, most, inner = value
+                one = [t * n for n in {least, min(most, least + 1)} for t in of(inner)]
+            else:
+                assert kind is c.IN
+                one = [chr(v) if k is c.LITERAL else "7" if v is c.CATEGORY_DIGIT else "x" for k, v in value]
+            texts = [a + b for a in texts for b in one][:limit]
+        return texts
+
+    return of(parser.parse(expression))
+
+
+def test_license_keywords_are_in_all_their_rules_match():
+    for label, keyword, _, e in licenses.rules():
+        found = examples(e)
+        assert found
+        for text in found:
+            assert re.fullmatch(e, text), (label, text)
+            # the gate never keeps a match from its rule
+            assert keyword in f" {text} ", (label, keyword, text)
+
+
+def test_license_names(spark):
+    texts = {
+        "gpl-3": ["Released as GPLv3.", "the GNU GPL v3", "GPL 3"],
+        "lgpl-2.1": ["LGPL-2.1", "lgplv2.1 code"],
+        "gpl-2.0-or-later": ["GPL-2.0-or-later", "GPL 2.0 or any later version"],
+        "apache-2.0": ["licensed under Apache 2.0", "Apache-2.0", "https://www.apache.org/licenses/LICENSE-2.0"],
+        "bsd-3-clause": ["BSD 3-Clause", "a three-clause BSD", "the new BSD license"],
+        "mpl-2.0": ["MPL 2.0", "Mozilla Public License, version 2.0"],
+        "proprietary": ["Unauthorized copying of this file, via any medium is strictly prohibited"],
+        "wtfpl": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed"],
+        "mit": ["MIT licensed"],
+    }
+    cases = [(label, t) for label, x in texts.items() for t in x] + [("", "the people of the village met under the old tree and took the bus home")]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.report(licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string"))).collect()}
+    for k, (label, text) in enumerate(cases):
+        assert label in got[k], (label, text, got[k])
+    assert got[len(cases) - 1] == {""}
 
 
 # op7
