@@ -31,7 +31,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_docs(spark, sf_dir)).drop("row_key")
+    return exact_dedup.exact_groups(_docs(spark, sf_dir))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,10 +216,28 @@ def brute_dedup(all_rows):
 
 @pytest.mark.parametrize(("digest", "files"), [(64, 2000), (64, 1), (1, 2000)])
 def test_exact_dedup(docs, digest, files):
-    got = exact_dedup.exact_groups(docs, digest_chars=digest, max_files=files).drop("row_key").collect()
+    got = exact_dedup.exact_groups(docs, digest_chars=digest, max_files=files).collect()
     assert Counter(map(tuple, got)) == brute_dedup([(r[0], r[1]) for r in rows()])
 
 
+def test_dedup_store_of_two_arrivals(spark, docs, monkeypatch):
+    """State of the first arrival decides over the second; the result is that of one arrival of both."""
+    from maskwell.llm.common import run_path
+
+    monkeypatch.setattr(exact_dedup, "LARGE", 2)
+    plain = docs.select("doc_id", "text")
+    first, second = plain.where("doc_id % 2 = 0 or doc_id is null"), plain.where("doc_id % 2 = 1")
+    for digest in (64, 1):
+        store = exact_dedup.DedupStore(spark, run_path(spark, "test-store"), digest)
+        store.add(first)
+        before = {r["digest"]: r["group_size"] for r in store.entries().collect()}
+        assert Counter(map(tuple, store.groups().drop("file", "row_key").collect())) == brute_dedup([(r[0], r[1]) for r in rows() if r[0] is None or r[0] % 2 == 0])
+        store.add(second)
+        after = {r["digest"]: r["group_size"] for r in store.entries().collect()}
+        assert sum(before.values()) == first.count() and sum(after.values()) == docs.count() and any(after[d] > n for d, n in before.items())
+        assert Counter(map(tuple, store.groups().drop("file", "row_key").collect())) == brute_dedup([(r[0], r[1]) for r in rows()])
+
+
 def test_exact_dedup_keeps_columns(docs, no_docs):
     out = exact_dedup.deduplicate(docs)
     assert out.columns == docs.columns
