@@ -93,9 +93,12 @@ def fit(labelled: DataFrame, size: int = PROFILE_SIZE, max_docs: int = MAX_TRAIN
     small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null").select("doc_id", "lang", "text")
     # a share of the hash space that surely holds max_docs of each language, then exactly max_docs
-    totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
+    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language, as its profile
+    if not totals:
+        return Profiles({}, size)
+    share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, (1.5 * max_docs + 100) / n))])
     drawn = rows.withColumn("u", (F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).cast("double") / float(1 << 53))
-    near = drawn.join(totals, "lang").where(F.col("u") * F.col("total") < 1.5 * max_docs + 100).drop("total")
+    near = drawn.where(F.col("u") < F.element_at(share, F.col("lang")))
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))).where(F.col("k") <= max_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,16 +1,20 @@
 """License detection by ordered signature rules, native.
 
-A text becomes its lower-cased words joined by single spaces. Keywords found in it gate the
-rules: regular expressions over the words, each with a priority, a relevance and a label. All
+A text becomes its lower-cased words joined by single spaces. Keywords found in it, in one pass with an
+expression that is their prefix tree, gate the rules: regular expressions over the words, each with a priority, a relevance and a label. All
 matches are found; a detection whose interval lies within that of one of the same or a higher
 priority goes. Three base phrases are counted apart from the rules and always keep their labels.
 
 Null texts are empty: no words, no labels, score 0. All work is within the row, so very long
-texts, repeated rows and empty tables need nothing special.
+texts, repeated rows and empty tables need nothing special; ties between detections go by place, then length, priority and
+label. Other columns than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +52,7 @@ _VERSIONED = [
     ("odbl", "open database", r"open database licen[sc]e", ("1 0",)),
     ("odc-by", "open data commons", r"open data commons attribution licen[sc]e", ("1 0",)),
     ("cdla", "community data", r"community data licen[sc]e agreement", ("1 0", "2 0")),
-    ("openrail", "rail ", r"(?:creativeml )?open ?rail(?: m)? licen[sc]e", ("1 0",)),
+    ("openrail", "licen", r"(?:creativeml )?open ?rail(?: m)? licen[sc]e", ("1 0",)),
     ("zpl", " zope ", r"zope public licen[sc]e", ("1 1", "2 0", "2 1")),
     ("w3c", " w3c software", r"w3c software(?: notice and)? licen[sc]e", ("1 0",)),
     ("sspl", "server side", r"server side public licen[sc]e", ("1",)),
@@ -92,7 +96,7 @@ _PLAIN = [
     ("zlib", " zlib ", r"zlib(?: libpng)? licen[sc]e"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "what the fuck", r"do what the fuck you want to public licen[sc]e"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|(?:2|two) clause bsd|bsd (?:2|two) clause) licen[sc]e"),
+    ("bsd-2-clause", "licen", r"(?:simplified bsd|freebsd|(?:2|two) clause bsd|bsd (?:2|two) clause) licen[sc]e"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|revised|modified) bsd|(?:3|three) clause bsd|bsd (?:3|three) clause) licen[sc]e"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|(?:4|four) clause bsd|bsd (?:4|four) clause) licen[sc]e"),
     ("bsd-0-clause", "bsd", r"(?:zero|0) clause bsd licen[sc]e"),
@@ -209,7 +213,23 @@ _NOTICES = [
 
 
 def rules() -> list[tuple[str, str, int, str]]:
-    """(label, keyword, priority, expression over words) in order."""
+    """(label, keyword, priority, expression over words) in order. A keyword begins a word of whatever its rule matches."""
+    return [(label, keyword.lstrip(), p, e) for label, keyword, p, e in _rules()]
+
+
+def tree(keywords: Iterable[str]) -> str:
+    """An expression for the longest of some keywords, as their prefix tree."""
+    by: dict[str, list[str]] = {}
+    for k in sorted(set(keywords)):
+        by.setdefault(k[:1], []).append(k[1:])
+    end = by.pop("", None) is not None
+    parts = [re.escape(c) + tree(rest) for c, rest in by.items()]
+    if not parts:
+        return ""
+    return f"(?:{'|'.join(parts)}){'?' * end}" if end or len(parts) > 1 else parts[0]
+
+
+def _rules() -> list[tuple[str, str, int, str]]:
     out: list[tuple[str, str, int, str]] = list(_NOTICES)
     for label, keyword, name, versions in _VERSIONED:
         for v in versions:
@@ -287,9 +307,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, norm, detections: array of the spans that stay, of every row of ``docs`` (doc_id, text)."""
     table = rules()
     literal = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(f" (?:{e})(?= )").alias("regex"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(_RELEVANCE[p]).alias("relevance")) for label, k, p, e in table])
-    keywords = F.array(*[F.lit(k) for k in dict.fromkeys(r[1] for r in table)])
+    keywords = list(dict.fromkeys(r[1] for r in table))
     row = docs.select("doc_id", words_of(F.col("text")).alias("norm"))
-    row = row.withColumn("found", F.filter(keywords, lambda k: F.contains(F.col("norm"), k)))
+    # the longest keyword at each word; those that it begins with are there too
+    longest = F.array_distinct(F.regexp_extract_all("norm", F.lit(f" (?=({tree(keywords)}))"), F.lit(1)))
+    row = row.withColumn("longest", longest)
+    found = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.exists("longest", lambda x: F.startswith(x, k)))
+    row = row.withColumn("found", F.when(F.size("longest") > 0, found).otherwise(F.array().cast("array<string>")))
     spans = F.flatten(F.transform(F.filter(literal, lambda r: F.array_contains("found", r["keyword"])), lambda r: _spans(F.col("norm"), r)))
     empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string,relevance:double>>")
     return row.select("doc_id", "norm", F.when(F.size("found") > 0, _kept(spans)).otherwise(empty).alias("detections"))

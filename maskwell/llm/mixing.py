@@ -69,6 +69,7 @@ class Mix:
 
     docs: DataFrame
     taken: DataFrame
+    slots: int
     sources: list = field(default_factory=list)
 
 
@@ -145,8 +146,9 @@ def mix_rows(rows: DataFrame, weights: Sequence[float], share: float, cap: float
     spans = passes.selectExpr("k", "row_key", "doc_id", "epoch", "epoch * source_size + at as a", "least(epoch * source_size + at + size, whole) as b").where("a < b")
     cut = spans.select("*", F.explode(F.expr(f"sequence(a div {block}, (b - 1) div {block})")).alias("block"))
     pieces = cut.selectExpr("k", "block", "row_key", "doc_id", "epoch", f"greatest(a, block * {block}) - a as first_word", f"least(b, (block + 1) * {block}) - greatest(a, block * {block}) as words")
-    slots = _slots(spark, [math.ceil(w / block) for w in whole])
-    return Mix(marked.select("row_key", "doc_id", "source", "size", "source_size", "target"), slots.join(pieces.hint("merge"), ["k", "block"]), found)
+    quotas = [math.ceil(w / block) for w in whole]
+    slots = _slots(spark, quotas)
+    return Mix(marked.select("row_key", "doc_id", "source", "size", "source_size", "target"), slots.join(pieces.hint("merge"), ["k", "block"]), sum(quotas), found)
 
 
 def taken_words(mixed: Mix) -> DataFrame:
@@ -170,4 +172,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     out = kept.join(takes, key).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(n) < F.col(size), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.orderBy(slot).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # slots are dense, so their ranges are known without a look at the rows
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.least(F.lit(parts - 1), F.floor(F.col(f"{slot}.slot") * parts / max(1, mixed.slots))).cast("int")
+    ordered = out.repartitionById(parts, part).sortWithinPartitions(slot)
+    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -398,7 +398,19 @@ def test_license_keywords_are_in_all_their_rules_match():
         for text in found:
             assert re.fullmatch(e, text), (label, text)
             # the gate never keeps a match from its rule
-            assert keyword in f" {text} ", (label, keyword, text)
+            assert f" {keyword}" in f" {text} ", (label, keyword, text)
+
+
+def test_license_keyword_tree():
+    rnd = random.Random(9)
+    for _ in range(200):
+        keywords = {"".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(1, 8))}
+        e = re.compile(licenses.tree(keywords))
+        for _ in range(50):
+            text = "".join(rnd.choice("ab ") for _ in range(7))
+            want = max((k for k in keywords if text.startswith(k)), key=len, default=None)
+            got = e.match(text)
+            assert (got.group() if got else None) == want
 
 
 def test_license_names(spark):
