@@ -6,7 +6,7 @@ both ends included, in code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ SPAN = "struct<start:int,end:int,match:string,type:string,identifier:string,dete
 NONE = f"array<{SPAN}>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it: higher-order functions share nothing else."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _confidence(d: Detector, match: Column, floor: float | None) -> Column:
     if d.validate is None:
         return F.lit(d.confidence)
@@ -93,10 +98,12 @@ def merge(spans: Column) -> Column:
         )
         return F.when((F.size(acc) > 0) & (x["a"] <= last["end"] + 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone(x))))
 
-    # element_at of an empty array is an error, so the first element starts the fold
-    first = F.transform(F.slice(order, 1, 1), lambda x: alone(x)).cast(kind)
-    folded = F.when(F.size(order) > 0, F.aggregate(F.slice(order, 2, F.greatest(F.size(order) - 1, F.lit(0))), first, step)).otherwise(F.array().cast(kind))
-    return F.transform(folded, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["s"]["match"].alias("match"), m["s"]["type"].alias("type"), m["s"]["identifier"].alias("identifier"), m["s"]["detector"].alias("detector"), m["s"]["confidence"].alias("confidence"), ((m["end"] - m["start"]) == m["width"]).alias("exact")))
+    def fold(order: Column) -> Column:
+        # element_at of an empty array is an error, so the first element starts the fold
+        first = F.transform(F.slice(order, 1, 1), lambda x: alone(x)).cast(kind)
+        return F.when(F.size(order) > 0, F.aggregate(F.slice(order, 2, F.greatest(F.size(order) - 1, F.lit(0))), first, step)).otherwise(F.array().cast(kind))
+
+    return F.transform(bound(order, fold), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["s"]["match"].alias("match"), m["s"]["type"].alias("type"), m["s"]["identifier"].alias("identifier"), m["s"]["detector"].alias("detector"), m["s"]["confidence"].alias("confidence"), ((m["end"] - m["start"]) == m["width"]).alias("exact")))
 
 
 def dedup(spans: Column) -> Column:
@@ -118,19 +125,21 @@ def replace_spans(text: Column, merged: Column, default: str | None = None) -> C
         new = F.when((s["type"] == "postal") & s["exact"], mask_postal(cut)).otherwise(F.concat(tag, tail))
         return F.when((s["start"] < acc["at"]) | (s["start"] > F.length(text)), acc).otherwise(F.struct((s["end"] + 1).alias("at"), F.concat(acc["out"], F.substr(text, acc["at"], s["start"] - acc["at"]), new).alias("out")))
 
-    done = F.aggregate(F.array_sort(merged), zero, step)
-    whole = F.concat(done["out"], F.substr(text, done["at"], F.greatest(F.length(text) - done["at"] + 1, F.lit(0))))
-    return F.when(F.size(merged) > 0, whole).otherwise(text)
+    def rest(done: Column) -> Column:
+        return F.concat(done["out"], F.substr(text, done["at"], F.greatest(F.length(text) - done["at"] + 1, F.lit(0))))
+
+    return bound(merged, lambda m: F.when(F.size(m) > 0, bound(F.aggregate(F.array_sort(m), zero, step), rest)).otherwise(text))
 
 
-def keep_confident(spans: Column, min_conf: float = 0.5, overrides: dict[str, float] | None = None, types: Iterable[str] | None = None, rejects: Column | None = None) -> Column:
-    """Spans at or over their identifier's floor (or marked for review, if spans have that mark), of the allowed types,
-    and not rejected (``type<TAB>lower-cased match``)."""
+def keep_confident(spans: Column, min_conf: float = 0.5, overrides: dict[str, float] | None = None, types: Iterable[str] | None = None, rejects: Column | None = None, review: bool = False) -> Column:
+    """Spans at or over their identifier's floor, of the allowed types, and not rejected (``type<TAB>lower-cased match``).
+    review: spans have a mark ``needs_review``, and those that carry it stay whatever their confidence is, so that an unsure source
+    hides too much rather than too little."""
     floor = lambda s: F.lit(float(min_conf))
     if overrides:
         table = F.create_map(*[F.lit(x) for k, v in overrides.items() for x in (k, float(v))])
         floor = lambda s: F.coalesce(F.try_element_at(table, s["identifier"]), F.lit(float(min_conf)))
-    out = F.filter(spans, lambda s: s["confidence"] >= floor(s))
+    out = F.filter(spans, lambda s: (F.coalesce(s["confidence"], F.lit(0.0)) >= floor(s)) | (F.coalesce(s["needs_review"], F.lit(False)) if review else F.lit(False)))
     if types is not None:
         allowed = F.array(*[F.lit(t) for t in types]).cast("array<string>")
         out = F.filter(out, lambda s: F.array_contains(allowed, s["type"]))
@@ -141,6 +150,11 @@ def keep_confident(spans: Column, min_conf: float = 0.5, overrides: dict[str, fl
 
 def redact_freetext(text: Column, detectors: Iterable[Detector], min_conf: float = 0.5, overrides: dict[str, float] | None = None, types: Iterable[str] | None = None, rejects: Iterable[str] | None = None) -> Column:
     """Scan, keep the confident, merge, replace. Detectors that no kept span can come from are not run."""
+    return replace_spans(text, merge(_own(text, detectors, min_conf, overrides, types, rejects)))
+
+
+def _own(text: Column, detectors: Iterable[Detector], min_conf: float, overrides: dict[str, float] | None, types: Iterable[str] | None, rejects: Iterable[str] | None) -> Column:
+    """The rules' spans that are kept."""
     live = []
     types = None if types is None else set(types)
     for d in detectors:
@@ -148,7 +162,28 @@ def redact_freetext(text: Column, detectors: Iterable[Detector], min_conf: float
         if reach >= (overrides or {}).get(d.identifier, min_conf) and (types is None or d.type in types):
             live.append(d)
     refused = None if rejects is None else F.array(*[F.lit(r) for r in rejects]).cast("array<string>")
-    return replace_spans(text, merge(keep_confident(scan(text, live), min_conf, overrides, types, refused)))
+    return keep_confident(scan(text, live), min_conf, overrides, types, refused)
+
+
+def redact_with_spans(df: DataFrame, row_id: str, column: str, found: DataFrame, detectors: Iterable[Detector] = (), min_conf: float = 0.5, overrides: dict[str, float] | None = None, types: Iterable[str] | None = None, rejects: Iterable[str] | None = None) -> DataFrame:
+    """``df`` with ``column`` redacted by the rules' spans and by spans of other sources together. found: findings (row,
+    column, start, end, match, type, identifier, detector, confidence, needs_review); theirs are kept by the same floors, or
+    by their mark for review. A text's spans are one array; texts without any are joined too."""
+    taken, names = {c.lower() for c in df.columns}, []
+    for base in ("__spans_row", "__spans"):
+        while base.lower() in taken:
+            base += "_"
+        names.append(base)
+    row, given = names
+    one = F.struct("start", "end", "match", "type", "identifier", "detector", F.col("confidence").cast("double").alias("confidence"), "needs_review")
+    per_row = found.where(F.col("column") == column).groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_list(one)).alias(given))
+    refused = None if rejects is None else F.array(*[F.lit(r) for r in rejects]).cast("array<string>")
+    kept = keep_confident(F.col(given), min_conf, overrides, None if types is None else set(types), refused, review=True)
+    plain = F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "match", "type", "identifier", "detector", "confidence")])).cast(NONE)
+    text = F.col(f"`{column}`").cast("string")
+    every = F.concat(_own(text, detectors, min_conf, overrides, types, rejects), F.coalesce(plain, F.array().cast(NONE)))
+    out = df.join(per_row, F.col(f"`{row_id}`") == F.col(row), "left")
+    return out.select(*[(replace_spans(text, merge(every)).alias(c) if c == column else F.col(f"`{c}`")) for c in df.columns])
 
 
 def findings(df: DataFrame, row_id: str, columns: Iterable[str], detectors: Iterable[Detector]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import seal, unseal
 from ..plans.policy import Policy, compile_column
+from .ranks import spare
 
 REVERSIBLE = ("pseudonymize", "fpe")
 
@@ -21,9 +22,10 @@ class Deidentified:
     both: DataFrame
     columns: list[str]
     policy: Policy
+    made: dict[str, str]
 
     def _pair(self, column: str) -> tuple[Column, Column]:
-        return F.col(f"`{column}`"), F.col(f"`__new_{column}`")
+        return F.col(f"`{column}`"), F.col(f"`{self.made[column]}`")
 
     def data(self) -> DataFrame:
         return self.both.select(*[(self._pair(c)[1].alias(c) if c in self.policy.columns else F.col(f"`{c}`")) for c in self.columns])
@@ -47,8 +49,10 @@ class Deidentified:
 
 
 def deidentify(df: DataFrame, policy: Policy, key: bytes | str | None = None) -> Deidentified:
-    new = [compile_column(c, r, policy, key).cast("string").alias(f"__new_{c}") for c, r in policy.columns.items() if c in df.columns]
-    return Deidentified(df.select("*", *new), df.columns, policy)
+    ruled = [c for c in policy.columns if c in df.columns]
+    made = dict(zip(ruled, spare(df, *[f"__new_{c}" for c in ruled]), strict=True))
+    new = [compile_column(c, policy.columns[c], policy, key).cast("string").alias(made[c]) for c in ruled]
+    return Deidentified(df.select("*", *new), df.columns, policy, made)
 
 
 def merge_crosswalks(*parts: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.keyed import uniform
 from ..functions.values import number
-from .ranks import dense_position
+from .ranks import dense_position, spare
 
 
 def _col(c: str) -> Column:
@@ -27,14 +27,15 @@ def suppress(df: DataFrame, quasi: Sequence[str], k: int = 5, cols: Sequence[str
     cols = quasi if cols is None else [c for c in cols if c in quasi]
     if not quasi:
         return df
-    sizes = df.groupBy(*[_col(c) for c in quasi]).agg(F.count("*").alias("_n")).where(f"_n < {int(k)}")
-    small = sizes.select(*[_col(c).alias(f"_q{i}") for i, c in enumerate(quasi)], F.lit(True).alias("_small"))
+    n, small_, *own = spare(df, "_n", "_small", *[f"_q{i}" for i in range(len(quasi))])
+    sizes = df.groupBy(*[_col(c) for c in quasi]).agg(F.count("*").alias(n)).where(F.col(n) < int(k))
+    small = sizes.select(*[_col(c).alias(q) for q, c in zip(own, quasi, strict=True)], F.lit(True).alias(small_))
     on = None
     for i, c in enumerate(quasi):
-        same = _col(c).eqNullSafe(F.col(f"_q{i}"))
+        same = _col(c).eqNullSafe(F.col(own[i]))
         on = same if on is None else on & same
     out = df.join(small, on, "left")
-    return out.select(*[(F.when(F.col("_small"), F.lit(None)).otherwise(_col(c)).alias(c) if c in cols else _col(c)) for c in df.columns])
+    return out.select(*[(F.when(F.col(small_), F.lit(None)).otherwise(_col(c)).alias(c) if c in cols else _col(c)) for c in df.columns])
 
 
 def recode(df: DataFrame, col: str, breaks: Sequence[float] | None = None, labels: Sequence[str] | None = None, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -55,6 +56,18 @@ def recode(df: DataFrame, col: str, breaks: Sequence[float] | None = None, label
     return df
 
 
+def percentiles(df: DataFrame, v: Column, shares: Sequence[float]) -> list[float]:
+    """Exact percentiles (between two neighbours in order, linear) of a numeric expression; none of an empty column. From row
+    positions: a range shuffle, not one task for all values."""
+    placed = dense_position(df.select(v.cast("double").alias("v")).where("v is not null"), ["v"], "at")
+    n = placed.count()
+    if not n:
+        return []
+    places = [p * (n - 1) for p in shares]
+    rows = {r["at"] - 1: r["v"] for r in placed.where(F.col("at").isin([x for p in places for x in (int(p) + 1, int(p) + 2)])).collect()}  # two for each share
+    return [rows[int(p)] + (p - int(p)) * (rows.get(int(p) + 1, rows[int(p)]) - rows[int(p)]) for p in places]
+
+
 def topbottom(df: DataFrame, col: str, top_pct: float | None = None, bottom_pct: float | None = None, top: float | None = None, bottom: float | None = None) -> DataFrame:
     """Cap at given limits or at exact percentiles."""
     if col not in df.columns:
@@ -62,7 +75,7 @@ def topbottom(df: DataFrame, col: str, top_pct: float | None = None, bottom_pct:
     v = number(_col(col))
     want = [p for p in (None if top_pct is None else 1 - top_pct, bottom_pct) if p is not None]
     if want and (top is None or bottom is None):
-        found = list(df.agg(F.percentile(v, F.array(*[F.lit(p) for p in want])).alias("p")).first()["p"] or [])
+        found = percentiles(df, v, want)
         if found and top is None and top_pct is not None:
             top = found[0]
         if found and bottom is None and bottom_pct is not None:
@@ -93,8 +106,9 @@ def microaggregate(df: DataFrame, row_id: str, cols: Sequence[str], aggr: int =
         placed = dense_position(valued, ["_v", "_id"], "_k").withColumn("_g", F.least(F.floor((F.col("_k") - 1) / aggr), F.lit(last)))
         agg = F.avg("_v") if method == "mean" else F.percentile("_v", F.lit(0.5))
         means = placed.groupBy("_g").agg(agg.alias("_m"))
-        new = placed.join(means, "_g").select("_id", (F.bround("_m") if facts["whole"] else F.col("_m")).alias("_m"))
-        df = df.join(new, _col(row_id) == F.col("_id"), "left").select(*[(F.col("_m").alias(x) if x == c else _col(x)) for x in df.columns])
+        id_, m = spare(df, "_id", "_m")
+        new = placed.join(means, "_g").select(F.col("_id").alias(id_), (F.bround("_m") if facts["whole"] else F.col("_m")).alias(m))
+        df = df.join(new, _col(row_id) == F.col(id_), "left").select(*[(F.col(m).alias(x) if x == c else _col(x)) for x in df.columns])
     return df
 
 
@@ -107,10 +121,11 @@ def pram(df: DataFrame, row_id: str, col: str, retain: float = 0.8, seed: int =
     again, draw = uniform(seed, _col(row_id), F.lit(f"{col}:keep")), uniform(seed, _col(row_id), F.lit(f"{col}:draw"))
     if df.where(_col(col).isNotNull()).select(_col(col)).distinct().limit(FEW + 1).count() > FEW:
         valued = df.select(_col(row_id).alias("_id"), _col(col).cast("string").alias("_v")).where("_v is not null")
-        placed = dense_position(valued, ["_v", "_id"], "_k").select("_k", "_v")
+        k, value = spare(df, "_k", "_v")
+        placed = dense_position(valued, ["_v", "_id"], "_k").select(F.col("_k").alias(k), F.col("_v").alias(value))
         n = valued.count()
-        new = df.withColumn("_k", (F.floor(draw * n) + 1).cast("long")).join(placed, "_k")
-        return new.select(*[(F.when(_col(c).isNotNull() & (again >= retain), F.col("_v")).otherwise(_col(c).cast("string")).alias(c) if c == col else _col(c)) for c in df.columns])
+        new = df.withColumn(k, (F.floor(draw * n) + 1).cast("long")).join(placed, k)
+        return new.select(*[(F.when(_col(c).isNotNull() & (again >= retain), F.col(value)).otherwise(_col(c).cast("string")).alias(c) if c == col else _col(c)) for c in df.columns])
     counts = df.where(_col(col).isNotNull()).groupBy(_col(col).cast("string").alias("_value")).agg(F.count("*").alias("_n"))
     # cumulative shares; a row for each category
     w = Window.orderBy("_value")
@@ -155,12 +170,13 @@ def synth_marginal(df: DataFrame, row_id: str, cols: Sequence[str], seed: int =
     """Each column is drawn again, alone, from its own non-null values; null cells are filled too."""
     for c in [c for c in cols if c in df.columns]:
         valued = df.select(_col(row_id).alias("_id"), _col(c).alias("_v")).where("_v is not null")
-        placed = dense_position(valued, ["_v", "_id"], "_k").select("_k", "_v")
+        k, value = spare(df, "_k", "_v")
+        placed = dense_position(valued, ["_v", "_id"], "_k").select(F.col("_k").alias(k), F.col("_v").alias(value))
         n = valued.count()
         if not n:
             continue
         pick = (F.floor(uniform(seed, _col(row_id), F.lit(f"{c}:synth")) * n) + 1).cast("long")
-        df = df.withColumn("_k", pick).join(placed, "_k").select(*[(F.col("_v").alias(x) if x == c else _col(x)) for x in df.columns])
+        df = df.withColumn(k, pick).join(placed, k).select(*[(F.col(value).alias(x) if x == c else _col(x)) for x in df.columns])
     return df
 
 

@@ -151,3 +151,23 @@ def test_judge(spark):
     assert got == [("name", "name", 0.0, True, "a;b"), ("other", "other_id", 0.7, False, ""), ("nric", "hiv_sti", 0.9, False, "")]
     pf = raw.select("row", "start", "end", "match", F.coalesce("type", F.lit("name")).alias("type"))
     assert plugins.judge_candidates(pf.where("row = 1"), pf.where("row = 2").withColumn("type", F.lit("person"))).count() == 2
+
+
+def test_supplied_spans_are_redacted_with_the_rules(spark):
+    from maskwell.operators import spans
+    from maskwell.plans.detectors import registry
+
+    df = spark.createDataFrame([(1, "Ann Lee wrote to ann@example.com", "x"), (2, "nothing here", "y"), (3, None, "z")], "id long, text string, `__spans` string")
+    found = spark.createDataFrame(
+        [
+            (1, "text", 1, 7, "Ann Lee", "name", "name", "judge", 0.1, True),
+            (1, "text", 9, 13, "wrote", "other", "other_id", "judge", 0.1, False),
+            (1, "other", 1, 3, "Ann", "name", "name", "judge", 0.9, False),
+            (2, "text", 1, 7, "nothing", "name", "name", "judge", None, True),
+        ],
+        "row long, column string, start int, end int, match string, type string, identifier string, detector string, confidence double, needs_review boolean",
+    )
+    got = {r["id"]: r for r in spans.redact_with_spans(df, "id", "text", found, registry()).collect()}
+    assert got[1]["text"] == "[NAME] wrote to [EMAIL]" and got[1]["__spans"] == "x"
+    # no confidence but a mark for review: hidden
+    assert got[2]["text"] == "[NAME] here" and got[3]["text"] is None

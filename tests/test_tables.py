@@ -292,3 +292,24 @@ def test_audit_logs_hold_every_customer(spark):
     gone = entries.where(F.col("seq") != 60)
     assert [r["seq"] for r in verify_chain(gone, ["log"]).collect()] == [61]
     entries.unpersist()
+
+
+def test_columns_named_as_intermediate_ones(spark):
+    """Tables may have columns of the names that the treatments use themselves; they pass through unchanged."""
+    from maskwell.operators import transform, treatments
+    from maskwell.plans.policy import Policy
+
+    names = ["_n", "_small", "_q0", "_id", "_m", "_k", "_v", "__pos", "__part", "__new_a"]
+    df = spark.createDataFrame([(k, f"a{k % 4}", float(k), *[f"{c}{k}" for c in names]) for k in range(20)], "id long, a string, v double, " + ", ".join(f"`{c}` string" for c in names))
+    rest = {r["id"]: tuple(r[c] for c in names) for r in df.collect()}
+    for out in (
+        treatments.suppress(df, ["a"], 5),
+        treatments.microaggregate(df, "id", ["v"]),
+        treatments.pram(df, "id", "a"),
+        treatments.synth_marginal(df, "id", ["a", "v"]),
+        treatments.topbottom(df, "v", top_pct=0.1, bottom_pct=0.1),
+        transform.deidentify(df, Policy().set("a", "other_id", "redact")).data(),
+    ):
+        assert out.columns == df.columns
+        assert {r["id"]: tuple(r[c] for c in names) for r in out.collect()} == rest
+    assert treatments.percentiles(df, df["v"], [0.0, 0.5, 0.9, 1.0]) == [0.0, 9.5, 17.1, 19.0]
