@@ -10,7 +10,8 @@ Template: ``<|role|>text</s>``. Control strings inside texts are escaped reversi
 ``~0``; a ``<`` or ``[`` that would begin a control string is ``~1`` or ``~2``; in roles ``|`` is ``~3``.
 
 Null texts and roles are empty. Null turns sort first, ties by role, then text. Repeated rows
-are turns of their own. A null conv_id is one conversation. Empty tables give no rows. A
+are turns of their own. A null conv_id is one conversation. Very long turns stay whole. Other columns are
+not read, whatever their names. Empty tables give no rows. A
 conversation is one output digest, so it must fit one row (below 2 GB of text).
 """
 

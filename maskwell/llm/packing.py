@@ -10,8 +10,9 @@ fewer times, and stops at the lower bound or after a bounded number of nodes. Th
 ranks go to which sequence; pieces get their rank within their length without a shuffle of one
 length into one task.
 
-Null texts are empty; an empty document is one piece, the end token. Repeated rows are packed
-each. Empty tables give no rows.
+Null texts are empty; an empty document is one piece, the end token. Very long texts are cut into
+full pieces and a rest. Repeated rows are packed each; which of the pieces of one length goes to which
+sequence is open. Other columns are not read, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ one version. Files that no kept version names are removed by ``vacuum``.
 
 Data passes through DataFrame reads and writes only; the driver handles names and sizes of
 files. Rows are kept as they are: nulls, empty and long texts, repeated rows, any columns. An
-empty arrival adds no shard; an empty store reads as no rows.
+empty arrival adds no shard; an empty store reads as no rows. Ties have no meaning here. The rename that fails if the
+version exists is what HDFS and local file systems give; a store without such a rename (most object stores) needs another
+commit. Files of a failed or lost commit are named by no version and stay.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ returns a spanning forest of its links, never all pairs, and components come fro
 minimum labels in written tables.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share
-a fingerprint; a null doc_id never names a component unless the whole component is null.
+a fingerprint; a null doc_id never names a component unless the whole component is null. A bit that
+exactly half of the shingles have is 0; of equal doc_ids either names a component. Very long texts count
+whole. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
