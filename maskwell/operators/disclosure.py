@@ -6,6 +6,7 @@ counted by partial aggregation, so a group of any size is a row for each task.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -61,12 +62,13 @@ def individual_risk(df: DataFrame, quasi: Sequence[str]) -> DataFrame | None:
     return group_sizes(df, quasi).agg((F.count("*") / F.sum(n)).alias("mean_risk"), (F.lit(1.0) / F.min(n)).alias("max_risk"), F.count("*").cast("double").alias("sum_risk"))
 
 
-def dcr(released: DataFrame, reference: DataFrame, columns: Sequence[str], order: Sequence[str], sample: int = MAX_SAMPLE) -> DataFrame:
+def dcr(released: DataFrame, reference: DataFrame, columns: Sequence[str], order: Sequence[str], sample: int = MAX_SAMPLE, seed: int = 1) -> DataFrame:
     """One row: min, mean and frac_exact of each released record's smallest share of differing columns from any reference
-    record. A sampling measure: the first ``sample`` (at most 500) released records by the ``order`` columns, against
-    all of ``reference``; the sample is a constant of the plan."""
+    record. A sampling measure: the ``sample`` (at most 500) released records with the smallest SHA-256 of ``seed`` and the
+    ``order`` columns, against all of ``reference``; the sample is a constant of the plan."""
     columns = [c for c in columns if c in released.columns and c in reference.columns]
-    few = released.orderBy(*order).limit(min(sample, MAX_SAMPLE)).select(*[F.col(f"`{c}`").cast("string").alias(f"_{k}") for k, c in enumerate(columns)])
+    drawn = F.sha2(F.concat_ws(chr(1), F.lit(str(seed)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(chr(2))) for c in order]), 256)
+    few = released.orderBy(drawn, *order).limit(min(sample, MAX_SAMPLE)).select(*[F.col(f"`{c}`").cast("string").alias(f"_{k}") for k, c in enumerate(columns)])
     few = few.withColumn("_id", F.monotonically_increasing_id())
     packed = few.agg(F.collect_list(F.struct("_id", *[f"_{k}" for k in range(len(columns))])).alias("few"))
     different = lambda s: sum((F.when(s[f"_{k}"].eqNullSafe(F.col(f"r_{k}")), 0).otherwise(1) for k in range(len(columns))), F.lit(0))
@@ -74,7 +76,8 @@ def dcr(released: DataFrame, reference: DataFrame, columns: Sequence[str], order
     rows = packed.collect()[0]["few"]  # at most 500 records
     if not rows or not columns:
         return released.sparkSession.createDataFrame([], "min_distance double, mean_distance double, frac_exact double")
-    literal = F.array(*[F.struct(F.lit(r["_id"]).alias("_id"), *[F.lit(r[f"_{k}"]).cast("string").alias(f"_{k}") for k in range(len(columns))]) for r in rows])
+    # one constant: a structure for each record would be compiled 500 times
+    literal = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), f"array<struct<_id:bigint,{','.join(f'_{k}:string' for k in range(len(columns)))}>>")
     away = other.select(F.explode(F.transform(literal, lambda s: F.struct(s["_id"].alias("id"), different(s).alias("d")))).alias("x")).groupBy("x.id").agg((F.min("x.d") / F.lit(len(columns))).alias("d"))
     return away.agg(F.min("d").alias("min_distance"), F.avg("d").alias("mean_distance"), F.avg(F.when(F.col("d") == 0, 1.0).otherwise(0.0)).alias("frac_exact"))
 

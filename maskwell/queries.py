@@ -11,7 +11,7 @@ from .functions import dates, fpe, keyed, values
 from .operators import disclosure, documents, profile, ranks, spans, transform, treatments, tuning
 from .plans import detectors as registry
 from .plans.policy import Policy
-from .sources import plugins, tables
+from .sources import plugins, staging, tables
 
 #: A key for queries only.
 KEY = bytes(range(32))
@@ -436,7 +436,7 @@ def individual_risk(spark, sf):
 
 
 @query("""
-    WITH s AS (SELECT p_brand, p_type, CAST(p_size + p_partkey % 2 AS VARCHAR) AS p_size, p_partkey FROM part ORDER BY p_partkey LIMIT 200),
+    WITH s AS (SELECT p_brand, p_type, CAST(p_size + p_partkey % 2 AS VARCHAR) AS p_size, p_partkey FROM part ORDER BY sha256('1' || chr(1) || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 500),
     r AS (SELECT DISTINCT p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part),
     d AS (SELECT p_partkey, min((CASE WHEN s.p_brand = r.p_brand THEN 0 ELSE 1 END + CASE WHEN s.p_type = r.p_type THEN 0 ELSE 1 END + CASE WHEN s.p_size = r.p_size THEN 0 ELSE 1 END) / 3) AS d FROM s, r GROUP BY p_partkey)
     SELECT min(d) AS min_distance, avg(d) AS mean_distance, avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END) AS frac_exact FROM d
@@ -444,7 +444,7 @@ def individual_risk(spark, sf):
 def dcr(spark, sf):
     part = table(spark, sf, "part")
     changed = part.withColumn("p_size", (F.col("p_size") + F.col("p_partkey") % 2).cast("string"))
-    return disclosure.dcr(changed, part, _Q, ["p_partkey"], 200).select(*[F.round(c, 9).alias(c) for c in ("min_distance", "mean_distance", "frac_exact")])
+    return disclosure.dcr(changed, part, _Q, ["p_partkey"]).select(*[F.round(c, 9).alias(c) for c in ("min_distance", "mean_distance", "frac_exact")])
 
 
 SQL["dcr"] = SQL["dcr"].replace("SELECT min(d) AS min_distance, avg(d) AS mean_distance, avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END) AS frac_exact", "SELECT round(min(d), 9) AS min_distance, round(avg(d), 9) AS mean_distance, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END), 9) AS frac_exact")
@@ -556,14 +556,14 @@ def _gold(spark, sf) -> DataFrame:
     """Known values of a text table: its own e-mail addresses, and some that it lacks."""
     docs = table(spark, sf, "documents")
     real = docs.select("doc_id", F.explode(spans.scan(F.col("text"), [d for d in registry.registry() if d.name == "email"])).alias("s")).select(F.lit("text").alias("column"), F.upper("s.match").alias("value"), F.lit("email").alias("identifier"))
-    fake = docs.where("doc_id < 100").select(F.lit("text").alias("column"), F.concat(F.lit("nobody-"), F.col("doc_id").cast("string")).alias("value"), F.lit("name").alias("identifier"))
+    fake = docs.select(F.lit("text").alias("column"), F.concat(F.lit("nobody-"), F.col("doc_id").cast("string")).alias("value"), F.lit("name").alias("identifier"))
     return real.unionByName(fake)
 
 
 _EMAIL_SQL = r"(SELECT unnest(regexp_extract_all(text, '(?i)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS v FROM documents)"
 
 
-@query(f"SELECT 'email' AS identifier, count(*) AS n, count(*) AS hit, 1.0::DOUBLE AS recall FROM {_EMAIL_SQL} UNION ALL SELECT 'name', count(*), 0, 0.0::DOUBLE FROM documents WHERE doc_id < 100")
+@query(f"SELECT 'email' AS identifier, count(*) AS n, count(*) AS hit, 1.0::DOUBLE AS recall FROM {_EMAIL_SQL} UNION ALL SELECT 'name', count(*), 0, 0.0::DOUBLE FROM documents")
 def gold_recall(spark, sf):
     return tuning.gold_recall(tuning.gold_coverage(_gold(spark, sf), tuning.caught_values(table(spark, sf, "documents"), ["text"], registry.registry())))
 
@@ -670,6 +670,7 @@ def streamed_policy(spark, sf):
 
     source = table(spark, sf, "customer").select("c_custkey", "c_name")
     stream = spark.readStream.schema(table(spark, sf, "customer").schema).option("pathGlobFilter", "customer.parquet").parquet(sf).select("c_custkey", "c_name")
-    name = f"streamed_{abs(hash(sf)) % 10**9}"
-    transform_stream(stream, Policy().set("c_name", "name"), KEY).writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(*source.columns)
+    where = staging.fresh_path(spark, "streamed")
+    made = transform_stream(stream, Policy().set("c_name", "name"), KEY)
+    made.writeStream.format("parquet").option("path", f"{where}/data").option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{where}/data").select(*source.columns)

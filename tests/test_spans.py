@@ -171,3 +171,22 @@ def test_supplied_spans_are_redacted_with_the_rules(spark):
     assert got[1]["text"] == "[NAME] wrote to [EMAIL]" and got[1]["__spans"] == "x"
     # no confidence but a mark for review: hidden
     assert got[2]["text"] == "[NAME] here" and got[3]["text"] is None
+
+
+def test_sources_around_models(spark):
+    import socket
+
+    tokens = plugins.token_source(lambda t: (["B-private_person", "E-private_person", "O", "S-unknown"], [(0, 3), (3, 7), (7, 8), (8, 9)]))
+    assert [(s["start"], s["end"], s["match"], s["identifier"], s["type"]) for s in tokens([5], ["Ann Lee, x"])] == [(1, 7, "Ann Lee", "name", "name")]
+    entities = plugins.entity_source(lambda t: [("PERSON", 0, 3, 0.8), ("PLANET", 0, 3, 1.0), ("GPE", 2, 2, 1.0)])
+    assert [(s["row"], s["match"], s["type"], s["confidence"]) for s in entities([5], ["Ann"])] == [(5, "Ann", "person", 0.8)]
+    seen = []
+    chat = plugins.chat_source(lambda texts: (seen.append(len(texts)), '[{"text": "Zoe", "i": 1, "type": "Person"}, {"text": "Zoe"')[1], batch=2)
+    assert [(s["row"], s["start"]) for s in chat([7, 8, 9], ["Zoe", "by Zoe", "Zoe"])] == [(8, 4), (9, 1)] and seen == [2, 1]
+
+    df = spark.createDataFrame([(1, "Ann wrote a@b.co"), (2, None)], "id long, notes string")
+    found = plugins.detect_freetext(df, "id", ["notes", "absent"], sources=[plugins.entity_source(lambda t: [("PERSON", 0, 3, 0.8)]), lambda rows, texts: 1 / 0])
+    assert [(r["row"], r["start"], r["match"], r["identifier"]) for r in plugins.in_order(found).collect()] == [(1, 1, "Ann", "name"), (1, 11, "a@b.co", "email")]
+    assert plugins.detect_freetext(df, "id", ["absent"]).count() == 0
+    with plugins.air_gap(), socket.socket() as s, pytest.raises(OSError, match="network access is off"):
+        s.connect_ex(("127.0.0.1", 9))
