@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 import shutil
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.documents import scrub_table
-from ..operators.transform import deidentify, merge_crosswalks, seal_crosswalk
+from ..operators.transform import deidentify, merge_crosswalks, open_crosswalk, seal_crosswalk
 from ..plans.identifiers import freetext_columns
 from ..plans.policy import ColumnRule, Policy
 from ..sources import tables
@@ -78,6 +79,17 @@ def status(folder: str) -> dict:
     return {"done": len(kept["done"]), "chunks": kept["chunks"], "complete": len(kept["done"]) == kept["chunks"]}
 
 
+def _keep_crosswalk(spark: SparkSession, made: DataFrame, path: str, key: bytes) -> None:
+    """The sealed crosswalk of an output, with the pairs of earlier runs: tokens that went out stay readable."""
+    if os.path.exists(path):
+        made = merge_crosswalks(open_crosswalk(spark.read.parquet(path), key), made)
+    seal_crosswalk(made, key).write.mode("overwrite").parquet(path + ".next")
+    if os.path.exists(path):
+        os.replace(path, path + ".last")
+    os.replace(path + ".next", path)
+    shutil.rmtree(path + ".last", ignore_errors=True)
+
+
 def output_path(path: str, folder: str) -> str:
     base, _, end = os.path.basename(path).rpartition(".")
     return os.path.join(folder, f"{file_slug(base)}.deid.{'csv' if tables.file_type(path) == 'table' else end}")
@@ -126,7 +138,7 @@ def run_batch(spark: SparkSession, project: Project, inputs, actor: str = "unkno
                 folder = project.path("chunks", os.path.basename(out))
                 data = run_chunked(df, policy, project.key(), folder, sha256_file(copy))
                 tables.write_csv(data, out, "row_id")
-                seal_crosswalk(crosswalk(spark, folder), project.key()).write.mode("overwrite").parquet(out + ".crosswalk")
+                _keep_crosswalk(spark, crosswalk(spark, folder), out + ".crosswalk", project.key())
                 item |= {"status": "ok", "rows": data.count()}
         except Exception as e:
             item |= {"status": "error", "detail": f"{type(e).__name__}: {str(e)[:300]}"}
@@ -135,4 +147,8 @@ def run_batch(spark: SparkSession, project: Project, inputs, actor: str = "unkno
     totals = {s: sum(i["status"] == s for i in items) for s in ("ok", "error", "skipped")}
     with open(project.path("output", "batch_summary.json"), "w", encoding="utf-8") as f:
         json.dump({"totals": totals, "items": items}, f, indent=1)
+    with open(project.path("output", "batch_summary.csv"), "w", encoding="utf-8", newline="") as f:
+        table = csv.DictWriter(f, ["file", "type", "status", "output", "rows", "seconds", "detail"])
+        table.writeheader()
+        table.writerows(items)
     return items

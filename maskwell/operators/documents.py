@@ -229,6 +229,15 @@ def pii_boxes(words: DataFrame, detectors: list[Detector] | None = None, scan_te
     return near.select("doc", "page", "word_idx", "left", "top", "width", "height", "text", "type", "identifier")
 
 
+def uncovered_words(words: DataFrame, boxes: DataFrame, detectors: list[Detector] | None = None) -> DataFrame:
+    """What redaction missed: words of ``words`` (read again from the output) that a span overlaps and whose centre lies under no box of
+    ``boxes`` (doc, page, left, top, width, height). No rows: verified."""
+    shown = pii_boxes(words, detectors).select("doc", "page", "word_idx", "text", "type", "identifier", (F.col("left") + F.col("width") / 2).alias("x"), (F.col("top") + F.col("height") / 2).alias("y")).alias("w")
+    under = boxes.select("doc", "page", "left", "top", "width", "height").distinct().alias("b")
+    inside = F.col("w.x").between(F.col("b.left"), F.col("b.left") + F.col("b.width")) & F.col("w.y").between(F.col("b.top"), F.col("b.top") + F.col("b.height"))
+    return shown.join(under, (F.col("w.doc") == F.col("b.doc")) & (F.col("w.page") == F.col("b.page")) & inside, "left_anti").drop("x", "y")
+
+
 def digital_boxes(boxes: DataFrame, dpi: int = 150) -> DataFrame:
     """Boxes in points as pixels."""
     return boxes.withColumns({c: F.col(c) * dpi / 72.0 for c in ("left", "top", "width", "height")})

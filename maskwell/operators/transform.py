@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +56,18 @@ def deidentify(df: DataFrame, policy: Policy, key: bytes | str | None = None) ->
     return Deidentified(df.select("*", *new), df.columns, policy, made)
 
 
+def side_by_side(before: DataFrame, after: DataFrame, row_id: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """row, column, before, after of every cell that differs (null-safe), for review. Rows are matched by their id; a row that only
+    one side has shows null on the other."""
+    have = [c for c in (columns or before.columns) if c != row_id and c in before.columns and c in after.columns]
+    cells = lambda df: df.select(F.col(f"`{row_id}`").alias("row"), F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(have)]).alias("v"))
+    if not have:
+        return before.select(F.col(f"`{row_id}`").alias("row"), *[F.lit(None).cast("string").alias(x) for x in ("column", "before", "after")]).limit(0)
+    both = cells(before).alias("a").join(cells(after).alias("b"), "row", "full")
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a.v.c{k}").alias("before"), F.col(f"b.v.c{k}").alias("after")) for k, c in enumerate(have)])
+    return both.select("row", F.explode(F.filter(each, lambda x: ~x["before"].eqNullSafe(x["after"]))).alias("x")).select("row", "x.*")
+
+
 def merge_crosswalks(*parts: DataFrame) -> DataFrame:
     """Union without repeats, by the whole triple: a shifted date may have several tokens."""
     out = parts[0]

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keyed import seal, unseal
@@ -34,6 +35,37 @@ def open_store(sealed: DataFrame, key: bytes | str, label: str, schema: str = FE
     return sealed.select(F.from_json(unseal(F.col("blob"), key, label), schema).alias("r")).select("r.*")
 
 
+def record_misses(misses: DataFrame, store: str, key: bytes | str, actor: str = "unknown", source: str = "reviewer", run_id: str | None = None, log: Callable[[str, str, dict], object] | None = None) -> int:
+    """Append missed values (value, identifier and any other columns of ``FEEDBACK``) to a sealed store, a Parquet folder that executors
+    see. Returns their number. ``log``(action, actor, detail) is told of it, once for a call, without the values."""
+    fixed = {"ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"), "actor": F.lit(actor), "source": F.lit(source), "run_id": F.lit(run_id)}
+    kinds = dict(x.split() for x in FEEDBACK.split(", "))
+    rows = misses.select(*[(fixed[c] if c in fixed else F.col(f"`{c}`") if c in misses.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    watch = Observation()
+    seal_store(rows, key, "feedback").observe(watch, F.count("*").alias("n")).write.mode("append").parquet(store)
+    n = watch.get["n"]
+    if log:
+        log("feedback_misses_recorded", actor, {"items": n, "source": source})
+    return n
+
+
+def read_misses(spark: SparkSession, store: str, key: bytes | str) -> DataFrame:
+    """The records of a store; none where nothing was recorded."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], FEEDBACK)
+    return open_store(spark.read.schema("blob string").parquet(store), key, "feedback")
+
+
+def ingest_gold(gold: DataFrame, caught: DataFrame, store: str, key: bytes | str, actor: str = "unknown", log: Callable[[str, str, dict], object] | None = None) -> DataFrame:
+    """Recall of ``gold`` (file, column, value, identifier) against ``caught_values``; what is not covered is recorded as missed."""
+    covered = gold_coverage(gold, caught)
+    missed = record_misses(covered.where("not covered"), store, key, actor, "gold")
+    if log:
+        log("feedback_gold_ingested", actor, {"missed": missed})
+    return gold_recall(covered)
+
+
 def diagnose(misses: DataFrame, policy: Policy | None = None, min_conf: float = 0.5) -> DataFrame:
     """``misses`` (value, identifier, ...) with why_missed: wrong_column, below_threshold, known_value, detector_off or
     no_pattern. Counts of equal values join back."""
@@ -188,6 +220,28 @@ def promote(policy: Policy, suggestions: Iterable[dict]) -> list[dict]:
     return shared
 
 
+def write_register(path: str, lessons: Iterable[dict], policy: Policy) -> int:
+    """Add promoted lessons to a shared register file (JSON); nothing unless the policy's ``global_register`` is on. A lesson that is there
+    already is not repeated. Returns the number of lessons in the file."""
+    kept = read_register(path)
+    if config(policy)["global_register"]:
+        for x in lessons:
+            if x not in kept:
+                kept.append(x)
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        with open(path + ".tmp", "w", encoding="utf-8") as f:
+            json.dump(kept, f, indent=1)
+        os.replace(path + ".tmp", path)
+    return len(kept)
+
+
+def read_register(path: str) -> list[dict]:
+    if not os.path.exists(path):
+        return []
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 def from_register(register: Iterable[dict], identifiers: Iterable[str]) -> list[dict]:
     wanted = set(identifiers)
     return [r for r in register if r["identifier"] in wanted]

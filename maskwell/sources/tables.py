@@ -25,28 +25,49 @@ def read_csv(spark: SparkSession, path: str, null_value: str | None = "NA", sep:
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """CSV, Parquet, ORC, JSON or XLSX by the name's end; XLSX needs openpyxl."""
+    """CSV, Parquet, ORC, JSON or XLSX by the name's end. A local CSV file without line breaks in fields is read in splits."""
     end = path.lower().rsplit(".", 1)[-1]
-    if end in ("xlsx", "xls"):
+    if end == "xlsx":
         return read_xlsx(spark, path, **options)
     if end in ("parquet", "orc", "json"):
         df = getattr(spark.read, end)(path)
         return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+    if os.path.isfile(path):
+        options.setdefault("multi_line", not newline_safe(path))
     return read_csv(spark, path, **options)
 
 
 def read_xlsx(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """One sheet as text. Driver-side: a workbook is one small file."""
-    import pandas as pd
+    """One sheet as text: the first row names the columns. Driver-side: a workbook is one small file."""
+    from .workbook import read_sheet
 
-    frame = pd.read_excel(path, sheet_name=sheet, dtype=str)  # ImportError where no reader is installed
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"`{c}` string" for c in frame.columns))
+    names, rows = read_sheet(path, sheet)
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in names))
 
 
 def sheets(path: str) -> list[str]:
-    import pandas as pd
+    from .workbook import sheet_names
 
-    return pd.ExcelFile(path).sheet_names
+    return sheet_names(path)
+
+
+def write_xlsx(df: DataFrame, path: str, row_id: str | None = None) -> None:
+    """One workbook of text cells, in row-id order if one is named. Rows stream through the driver, partition by partition; a
+    sheet holds at most 1,048,575 of them, so larger tables are an error: use CSV or Parquet."""
+    from .workbook import write_sheet
+
+    out = df if row_id is None else df.orderBy(row_id).drop(row_id)
+    write_sheet(path, out.columns, out.select(*[F.col(f"`{c}`").cast("string") for c in out.columns]).toLocalIterator())
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """path, xml of the text files under a path: a row for each file, read by the executors."""
+    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
+
+
+def preview(df: DataFrame, n: int = 50, row_id: str = "row_id") -> DataFrame:
+    """The first ``n`` rows for display: by row id if the table has it."""
+    return (df.orderBy(row_id) if row_id in df.columns else df).limit(n)
 
 
 def header(df: DataFrame) -> list[str]:
@@ -110,7 +131,8 @@ def sample_table(df: DataFrame, n_rows: int, max_rows: int = SAMPLE_ROWS, block:
 def write_csv(df: DataFrame, path: str, row_id: str | None = None) -> None:
     """CSV with nulls empty, in row-id order over the files if one is named (the id itself is left out)."""
     out = df if row_id is None else df.orderBy(row_id).drop(row_id)
-    out.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
+    # the writer would cut white space off by itself
+    out.write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def file_type(path: str) -> str:

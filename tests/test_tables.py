@@ -313,3 +313,74 @@ def test_columns_named_as_intermediate_ones(spark):
         assert out.columns == df.columns
         assert {r["id"]: tuple(r[c] for c in names) for r in out.collect()} == rest
     assert treatments.percentiles(df, df["v"], [0.0, 0.5, 0.9, 1.0]) == [0.0, 9.5, 17.1, 19.0]
+
+
+def test_workbooks(tmp_path, spark):
+    import zipfile
+
+    from maskwell.sources import workbook
+
+    path = str(tmp_path / "t.xlsx")
+    rows = [(2, "_x0041_ a\r\nb", None), (1, "", " <é&👍> \x01")]
+    df = spark.createDataFrame(rows, "row_id long, a string, `b \"c` string")
+    tables.write_xlsx(df, path, "row_id")
+    back = tables.read_table(spark, path)
+    assert back.columns == ["a", 'b "c'] and [tuple(r) for r in back.collect()] == [r[1:] for r in reversed(rows)] and tables.sheets(path) == ["Sheet1"]
+    tables.write_xlsx(df.limit(0), path)
+    assert tables.read_xlsx(spark, path, "Sheet1").count() == 0
+    assert [workbook.column_name(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and all(workbook.column_number(workbook.column_name(k) + "7") == k for k in range(800))
+    with pytest.raises(ValueError, match="32767"):
+        workbook.write_sheet(path, ["a"], [("x" * 40_000,)])
+    # a workbook of another program: shared strings with runs, numbers, truth values, a gap and an unnamed column
+    workbook.write_sheet(path, ["a"], [])
+    sheet = f'<worksheet xmlns="{workbook.MAIN}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2"><v>1.5</v></c><c r="C2" t="b"><v>1</v></c></row></sheetData></worksheet>'
+    strings = f'<sst xmlns="{workbook.MAIN}"><si><r><t>na</t></r><r><t>me</t></r><rPh><t>no</t></rPh></si></sst>'
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()} | {"xl/worksheets/sheet1.xml": sheet.encode(), "xl/sharedStrings.xml": strings.encode()}
+    with zipfile.ZipFile(path, "w") as z:
+        for n, x in parts.items():
+            z.writestr(n, x)
+    assert workbook.read_sheet(path) == (["name", "B", "C"], [("1.5", None, "TRUE")])
+
+
+def test_feedback_register_and_probe(tmp_path, spark):
+    from maskwell.sources import plugins
+
+    log, store = [], "file://" + str(tmp_path / "store")
+    assert tuning.read_misses(spark, store, KEY).count() == 0
+    made = spark.createDataFrame([("Ann", "name", 3), (None, None, None)], "value string, identifier string, row long")
+    assert tuning.record_misses(made, store, KEY, "me", log=lambda *x: log.append(x)) == 2 and log == [("feedback_misses_recorded", "me", {"items": 2, "source": "reviewer"})]
+    assert tuning.record_misses(made.limit(0), store, KEY) == 0
+    got = {(r["value"], r["row"], r["actor"], r["file"]) for r in tuning.read_misses(spark, store, KEY).collect()}
+    assert got == {("Ann", 3, "me", None), (None, None, "me", None)}
+    assert b"Ann" not in b"".join(p.read_bytes() for p in (tmp_path / "store").iterdir())
+    path, on = str(tmp_path / "r" / "register.json"), Policy(autotune={"global_register": True})
+    lesson = {"identifier": "mrn", "lever": "threshold", "cause": "below_threshold", "support": 2, "floor": 0.3, "pattern": None}
+    assert tuning.write_register(path, [lesson], Policy()) == 0 and tuning.write_register(path, [lesson, lesson], on) == 1 and tuning.from_register(tuning.read_register(path), ["mrn"]) == [lesson]
+    assert plugins.probe({"good": lambda rows, texts: [], "bad": lambda rows, texts: 1 / 0}) == {"good": "ready", "bad": "ZeroDivisionError: division by zero"}
+
+
+def test_batch_keeps_earlier_pairs_and_reads_documents(tmp_path, spark):
+    p = Project.create(str(tmp_path / "p"), "demo")
+    p.policy.set("name", "name")
+    src = tmp_path / "t.csv"
+    for text in ("name\nAnn\n Bob\n", "name\nZoe\n Bob\n"):
+        src.write_text(text)
+        item = runs.run_batch(spark, p, [str(src)], redo=True)[0]
+        assert item["status"] == "ok", item
+    walk = transform.open_crosswalk(spark.read.parquet(item["output"] + ".crosswalk"), p.key())
+    assert sorted(r["original"] for r in walk.collect()) == [" Bob", "Ann", "Zoe"]
+    assert open(p.path("output", "batch_summary.csv")).read().splitlines()[0] == "file,type,status,output,rows,seconds,detail"
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.xml").write_text(XML["generic"])
+    (tmp_path / "docs" / "b.xml").write_text("<a>")
+    got = documents.scrub_table(tables.read_documents(spark, str(tmp_path / "docs")), KEY).orderBy("path").collect()
+    assert got[0]["xml"] and got[1]["xml"] is None and got[1]["error"]
+
+
+def test_review_edges(spark):
+    a = spark.createDataFrame([(1, "x", None), (2, "y", "q")], "id long, s string, t string")
+    b = spark.createDataFrame([(1, None, None), (3, "y", None)], "id long, s string, t string")
+    got = sorted(tuple(r) for r in transform.side_by_side(a, b, "id").collect())
+    assert got == [(1, "s", "x", None), (2, "s", "y", None), (2, "t", "q", None), (3, "s", None, "y")]
+    assert transform.side_by_side(a, b, "id", ["none"]).count() == 0 and transform.side_by_side(a, a, "id").count() == 0
