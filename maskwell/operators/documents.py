@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -91,14 +92,27 @@ def xml_profile(root: ET.Element, source: str) -> str:
 
 
 def _select(root: ET.Element, path: str) -> list[ET.Element]:
-    """Elements of a path of local names: ``a/b`` a child, ``a//b`` any descendant."""
-    deep = "//" in path
-    names = path.replace("//", "/").split("/")
-    tops = [e for e in root.iter() if local(e.tag) == names[0]]
-    if len(names) == 1:
-        return tops
-    out = [x for t in tops for x in (t.iter() if deep else t) if x is not t and local(x.tag) == names[1]]
-    return list({id(x): x for x in out}.values())
+    """Elements of a path of local names of any length: ``a/b`` a child, ``a//b`` any descendant; the first is anywhere."""
+    first, *steps = re.split("(//?)", path)
+    found = [e for e in root.iter() if local(e.tag) == first]
+    for axis, name in zip(steps[::2], steps[1::2], strict=True):
+        below = (x for t in found for x in (t.iter() if axis == "//" else t) if x is not t and local(x.tag) == name)
+        found = list({id(x): x for x in below}.values())
+    return found
+
+
+@contextmanager
+def _prefixes(source: str):
+    """A document's own prefixes for its output, and no others: the registry is the whole process's."""
+    kept = dict(ET._namespace_map)
+    try:
+        for prefix, uri in re.findall(r"xmlns(?::(\w+))?\s*=\s*[\"']([^\"']*)", source):
+            if not re.fullmatch(r"ns\d+", prefix):
+                ET.register_namespace(prefix, uri)
+        yield
+    finally:
+        ET._namespace_map.clear()
+        ET._namespace_map.update(kept)
 
 
 def _mask(value: str, last: int = 3) -> str:
@@ -148,12 +162,10 @@ def _sweep(text: str, found: list[Detector]) -> tuple[str, list[str]]:
 
 
 def scrub_xml(source: str, key: bytes | str | None = None, profile: str | None = None, sweep: bool = True, actions: dict[str, str] | None = None, postal6: bool = False) -> dict:
-    """Scrub one document: targets, then a sweep over other leaf texts; protected payloads must come out unchanged."""
+    """Scrub one document: targets, then a sweep over all other texts, those beside child elements too. Tokens that the targets were
+    given are not swept: digits in them are no phone numbers. Protected payloads must come out unchanged."""
     root = ET.fromstring(source.encode() if isinstance(source, str) else source)
-    for prefix, uri in re.findall(r"xmlns(?::(\w+))?\s*=\s*[\"']([^\"']*)", source):
-        if not re.fullmatch(r"ns\d+", prefix):
-            ET.register_namespace(prefix, uri)
-    profile, changes = profile or xml_profile(root, source), []
+    profile, changes, tokens = profile or xml_profile(root, source), [], set()
     guarded = [e for e in root.iter() if local(e.tag) in PROTECTED.get(profile, ())]
     before_text = ["".join(e.itertext()) for e in guarded]
     inside = {id(x) for e in guarded for x in e.iter()}
@@ -170,6 +182,8 @@ def scrub_xml(source: str, key: bytes | str | None = None, profile: str | None =
             new = _transform(old, action, identifier, key)
             if attribute is None:
                 e.text = new
+                if action == "pseudonymize":
+                    tokens.add(id(e))
             else:
                 e.set(attribute, new)
             if new != old:
@@ -177,14 +191,21 @@ def scrub_xml(source: str, key: bytes | str | None = None, profile: str | None =
     if sweep:
         found = [d for d in registry(postal6) if d.name in SWEEP]
         for e in root.iter():
-            if len(e) or id(e) in inside or not (e.text or "").strip() or not isinstance(e.tag, str):
+            if id(e) in inside or not isinstance(e.tag, str):
                 continue
-            new, types = _sweep(e.text, found)
-            if new != e.text:
-                changes.append((local(e.tag), "other_id", "redact_freetext", f"xml:sweep({','.join(types)})", e.text, new))
-                e.text = new
+            # what stands in an element: before its first child, and after each child
+            for holder, part in [(e, "text"), *((child, "tail") for child in e)]:
+                old = getattr(holder, part) or ""
+                if not old.strip() or (part == "text" and id(e) in tokens):
+                    continue
+                new, types = _sweep(old, found)
+                if new != old:
+                    changes.append((local(e.tag), "other_id", "redact_freetext", f"xml:sweep({','.join(types)})", old, new))
+                    setattr(holder, part, new)
     ok = before_text == ["".join(e.itertext()) for e in guarded]
-    return {"xml": ET.tostring(root, encoding="unicode"), "profile": profile, "n_changes": len(changes), "protected_nodes": len(guarded), "waveform_ok": ok, "changes": changes}
+    with _prefixes(source):
+        xml = ET.tostring(root, encoding="unicode")
+    return {"xml": xml, "profile": profile, "n_changes": len(changes), "protected_nodes": len(guarded), "waveform_ok": ok, "changes": changes}
 
 
 def scrub_table(docs: DataFrame, key: bytes | str | None = None, sweep: bool = True, actions: dict[str, str] | None = None, postal6: bool = False) -> DataFrame:

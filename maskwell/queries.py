@@ -395,7 +395,7 @@ def value_frequencies(spark, sf):
     return _profile_cells(spark, sf).where("column = 'p_brand'").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT column_name AS \"column\", CASE WHEN contains(column_name, 'name') THEN 'name' END AS identifier FROM (DESCRIBE customer) WHERE column_name <> 'c_custkey'")
 def suggest_mapping(spark, sf):
     found = profile.suggest_mapping(table(spark, sf, "customer"), "c_custkey")
     return spark.createDataFrame(sorted(found.items()), "column string, identifier string")
@@ -596,7 +596,14 @@ def tuning_safety(spark, sf):
 # documents
 
 
-@query()
+_XML_NAME, _XML_ID = _sql_token("c_name", "NAME", "name"), _sql_token("CAST(c_custkey AS VARCHAR)", "MRN", "mrn")
+
+
+@query(f"""
+    SELECT CAST(c_custkey AS VARCHAR) AS path, 'muse' AS profile, 4::INTEGER AS n_changes, true AS waveform_ok,
+        '<restingecg><PatientID>' || {_XML_ID} || '</PatientID><PatientLastName>' || {_XML_NAME} || '</PatientLastName><DateofBirth>1960</DateofBirth><note>call [REDACTED]</note><Waveform>91234567</Waveform></restingecg>' AS xml
+    FROM customer
+""")
 def xml_scrub(spark, sf):
     c = table(spark, sf, "customer")
     xml = F.concat(F.lit("<restingecg><PatientID>"), F.col("c_custkey").cast("string"), F.lit("</PatientID><PatientLastName>"), "c_name", F.lit("</PatientLastName><DateofBirth>12-31-1960</DateofBirth><note>call 91234567</note><Waveform>91234567</Waveform></restingecg>"))

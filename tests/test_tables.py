@@ -384,3 +384,18 @@ def test_review_edges(spark):
     got = sorted(tuple(r) for r in transform.side_by_side(a, b, "id").collect())
     assert got == [(1, "s", "x", None), (2, "s", "y", None), (2, "t", "q", None), (3, "s", None, "y")]
     assert transform.side_by_side(a, b, "id", ["none"]).count() == 0 and transform.side_by_side(a, a, "id").count() == 0
+
+
+def test_xml_mixed_content_tokens_and_prefixes():
+    from xml.etree import ElementTree as ET
+
+    got = documents.scrub_xml("<a>call 91234567 <b>or</b> a@b.co <c/>, none</a>", KEY)
+    assert got["xml"] == "<a>call [REDACTED] <b>or</b> [REDACTED] <c />, none</a>" and got["n_changes"] == 2
+    ids = [documents.scrub_xml(f"<restingecg><PatientID>{k}</PatientID></restingecg>", KEY) for k in range(300)]
+    assert all("REDACTED" not in x["xml"] and x["n_changes"] == 1 for x in ids)
+    # a document that declares a prefix does not give it to the next one
+    documents.scrub_xml('<q:a xmlns:q="urn:q"><q:b>x</q:b></q:a>', KEY)
+    assert "q:a" in documents.scrub_xml('<q:a xmlns:q="urn:q"/>', KEY)["xml"] and "q:" not in documents.scrub_xml("<a xmlns='urn:q'/>", KEY)["xml"]
+    tree = ET.fromstring("<r><a><b><c>1</c></b></a><a><x><b><c>2</c></b></x></a></r>")
+    texts = lambda path: [e.text for e in documents._select(tree, path)]
+    assert texts("a/b/c") == ["1"] and texts("a//b/c") == ["1", "2"] and texts("r//c") == ["1", "2"] and texts("c") == ["1", "2"]
