@@ -13,9 +13,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets one of this machine, and
+    a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         where = "file://" + tempfile.mkdtemp(prefix="maskwell-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
