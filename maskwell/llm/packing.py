@@ -285,8 +285,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset of every piece of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
     cut, _ = write_table(pieces(docs, path, capacity, end_id), "pack-pieces")
-    counts, _ = write_table(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "pack-counts")
-    histogram = [(r["length"], r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()]  # at most capacity rows
+    histogram = [(r["length"], r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()]  # at most capacity rows
     sizes, first, base, copies, offset = [], [], [], [], []
     used, sequence = [0] * (capacity + 1), 0
     for items, times in plan(histogram, capacity, max_nodes):
@@ -311,6 +310,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         away = rank.to_numpy() - first[k]
         return pd.DataFrame({"sequence_id": base[k] + away // copies[k], "offset": offset[k] + away % copies[k] * length.to_numpy()})
 
+    counts = cut.groupBy("length", "task").agg(F.count("*").alias("n"))  # two narrow columns: cheaper read again than written
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
     ranked = cut.withColumn("ids_crc32", F.crc32("ids")).join(before.hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.withColumn("at", place("length", "rank")).select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "at.sequence_id", "at.offset")

@@ -507,6 +507,14 @@ def test_packing(docs, no_docs, capacity):
     assert packing.pack(no_docs, path, capacity).count() == 0
 
 
+def test_packing_writes_its_pieces_only(docs, monkeypatch):
+    # each file written starts processes of the JVM where Hadoop has no native library
+    written, real = [], packing.write_table
+    monkeypatch.setattr(packing, "write_table", lambda df, name: (written.append(name), real(df, name))[1])
+    assert packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), 64).count() > docs.count()
+    assert written == ["pack-pieces"]
+
+
 # op8
 
 
