@@ -56,6 +56,26 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def local_table(spark: SparkSession, **columns) -> DataFrame:
+    """A small table of Arrow arrays, as part of the plan. (``createDataFrame`` of a list would start a daemon and workers of
+    plain Python on the executors, which stay beside those that are there.)"""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table(columns))
+
+
+def give_back() -> None:
+    """Return freed memory of this Python process to the system: workers outlive their stage, and what they hold counts beside all later ones."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def temp_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (compared without case)."""
     taken, name = {c.lower() for c in df.columns}, f"__{base}"

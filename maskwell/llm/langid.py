@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import tokens
 from .common import small_batches
 
 UND = "und"
@@ -102,6 +103,7 @@ def fit(labelled: DataFrame, size: int = PROFILE_SIZE, max_docs: int = MAX_TRAIN
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))).where(F.col("k") <= max_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens.forget()
         found: dict[str, list[np.ndarray]] = {}
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
@@ -126,6 +128,7 @@ def predict(text: Column, profiles: Profiles) -> Column:
 
     @F.pandas_udf(schema)
     def label(texts: pd.Series) -> pd.DataFrame:
+        tokens.forget()
         return pd.DataFrame([profiles.predict(x) if isinstance(x, str) else (UND, 0.0) for x in texts], columns=["lang_pred", "score"])
 
     return label(text)

@@ -23,11 +23,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, temp_name, word_count, write_table
+from .common import WORD, local_table, temp_name, word_count, write_table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -109,9 +110,10 @@ def _slots(spark, quotas: list[int]) -> DataFrame:
 
     dealt = bases.mapInPandas(deal, "k int, block long, slot long")
     have = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a row for each source
-    short = [(k, have.get(k, 0), q) for k, q in enumerate(quotas) if have.get(k, 0) < q]
+    short = [k for k, q in enumerate(quotas) if have.get(k, 0) < q]
     if short:
-        rest = spark.createDataFrame(short, "k int, a long, b long").select("k", F.explode(F.expr("sequence(a, b - 1)")).alias("block"))
+        lack = local_table(spark, k=pa.array(short, pa.int32()), a=pa.array([have.get(k, 0) for k in short], pa.int64()), b=pa.array([quotas[k] for k in short], pa.int64()))
+        rest = lack.select("k", F.explode(F.expr("sequence(a, b - 1)")).alias("block"))
         dealt = dealt.unionByName(rest.withColumn("slot", F.lit(total) + F.col("block")))
     return dealt
 
@@ -131,7 +133,8 @@ def mix_rows(rows: DataFrame, weights: Sequence[float], share: float, cap: float
     sizes = [r["size"] for r in found]
     goal = targets(sizes, [weights[k % len(weights)] for k in range(len(found))], share, cap)
     whole = [min(round(t), math.floor(cap * n)) for t, n in zip(goal, sizes, strict=True)]
-    table = spark.createDataFrame([(k, r["source"], n, t, w) for k, (r, n, t, w) in enumerate(zip(found, sizes, goal, whole, strict=True))], "k int, name string, source_size long, target double, whole long")
+    names = pa.array([r["source"] for r in found], pa.string())
+    table = local_table(spark, k=pa.array(range(len(found)), pa.int32()), name=names, source_size=pa.array(sizes, pa.int64()), target=pa.array(goal, pa.float64()), whole=pa.array(whole, pa.int64()))
     table = F.broadcast(table) if len(found) <= BROADCAST_SOURCES else table
     marked = rows.join(table, rows["source"].eqNullSafe(table["name"])).drop("name")
     buckets = max(1, math.ceil(sum(r["docs"] for r in found) / BUCKET))

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remove, small_batches, temp_name, write_table
+from . import tokens
+from .common import give_back, remove, small_batches, temp_name, write_table
 from .simhash import components, shingle_hashes, signature
 from .tokenbin import filesystem
 
@@ -185,7 +186,7 @@ def link_tiles(tiles: DataFrame, kind: type[Signatures] | type[Sets], similar: t
                 for c in table.to_batches(max_chunksize=256):
                     yield c.select(schema.names)
                 del table, tile
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     labelled, path = write_table(spark.range(0, len(files), 1, len(files)).mapInArrow(own, schema), f"{name}-own")
     bounds = [F.struct(*kind.REACH), F.input_file_name()]
@@ -209,7 +210,7 @@ def link_tiles(tiles: DataFrame, kind: type[Signatures] | type[Sets], similar: t
                     if len(moved):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[label[moved]])], names=["a", "b"])
                     del two
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     # nodes of these links are components of tiles; each stands for at most a tile's rows
     top = components(spark.range(0, len(reach), 1, len(reach)).mapInArrow(across, "a long, b long"))
@@ -235,6 +236,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similar: tuple[int,
 
     @F.pandas_udf("sig binary, digest binary, size long")
     def sign(texts: pd.Series) -> pd.DataFrame:
+        tokens.forget()
         sets = [shingles(x) for x in texts]
         return pd.DataFrame({"sig": [signature(x, WORDS) for x in sets], "digest": [hashlib.sha256(x.tobytes()).digest() for x in sets], "size": [len(x) for x in sets]})
 

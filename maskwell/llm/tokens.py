@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from .common import give_back
+
 #: Words remembered in a Python worker: two generations of so many; the older one goes when the younger is full.
 MAX_WORDS = 200_000
 _FAMILIAR = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ſ–—‘’“”…€]*")
@@ -94,6 +96,13 @@ def load(path: str) -> Words:
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Drop what this process remembers; for functions of other operators, whose worker may have packed before."""
+    if _LOADED:
+        _LOADED.clear()
+        give_back()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

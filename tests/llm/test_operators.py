@@ -8,12 +8,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
 from pyspark.sql import functions as F
 
-from maskwell.llm import chat, exact_dedup, langid, licenses, mixing, near, packing, sharding, simhash, tokenbin, tokens, topk
+from maskwell.llm import chat, common, exact_dedup, langid, licenses, mixing, near, packing, sharding, simhash, tokenbin, tokens, topk
 
 from maskwell.llm.common import write_table
 
@@ -803,6 +805,36 @@ def test_a_large_group_costs_one_link_for_a_pair_of_tiles(spark, monkeypatch):
     assert len(seen) == 2 and max(seen) <= 2 * 10 * 9 / 2
 
 
+def test_mix_starts_no_plain_workers(docs):
+    # a list made a table by createDataFrame starts a second daemon and its workers on each executor, which stay
+    mixed = mixing.mix(docs, block=4)
+    for df in (mixed.docs, mixed.taken):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan
+    table = common.local_table(docs.sparkSession, k=pa.array([1, None], pa.int32()), name=pa.array(["x", None], pa.string()))
+    assert table.dtypes == [("k", "int"), ("name", "string")] and [tuple(r) for r in table.collect()] == [(1, "x"), (None, None)]
+
+
+@pytest.mark.parametrize("stage", ["language", "near_dedup"])
+def test_workers_of_other_stages_forget_words(docs, monkeypatch, stage):
+    made = []
+
+    class Made(Exception):
+        pass
+
+    def stop(*_):
+        raise Made
+
+    monkeypatch.setattr(F, "pandas_udf", lambda _: lambda f: made.append(f) or stop)
+    with pytest.raises(Made):
+        langid.predict(F.col("text"), langid.Profiles({})) if stage == "language" else near.drop_near_duplicates(docs)
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    assert tokens.load(path).encode(["a word"]) and tokens._LOADED
+    assert len(made[0](pd.Series(["a word", None]))) == 2
+    assert not tokens._LOADED
+    assert tokens.load(path).encode(["a word"]) == [tokens.load(path).whole("a word")]
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as p
 
