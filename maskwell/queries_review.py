@@ -226,13 +226,10 @@ def csv_round_trip(spark, sf):
 
 @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS k, {_ODD_CELL.format(empty=chr(39) * 2, na=chr(39) + 'NA' + chr(39), null='NULL')} AS cell FROM orders")
 def xlsx_round_trip(spark, sf):
-    import os
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:  # of the driver, which writes and reads the workbook itself
-        at = os.path.join(folder, "t.xlsx")
-        tables.write_xlsx(_odd_rows(spark, sf), at)
-        return tables.read_table(spark, at)
+    """As many workbooks as the rows need, written and read by the executors."""
+    where = staging.fresh_path(spark, "xlsx")
+    tables.write_workbooks(_odd_rows(spark, sf), where)
+    return tables.read_workbooks(spark, where)
 
 
 @query("SELECT c_custkey, row_id FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS row_id FROM customer) WHERE row_id <= 50")

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import glob
+import io
+import itertools
 import os
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+if TYPE_CHECKING:
+    import pyarrow as pa
 
 BLOCK, SAMPLE_ROWS, CHUNK = 2000, 20_000, 50_000
 
@@ -53,13 +60,86 @@ def sheets(path: str) -> list[str]:
 
 def write_xlsx(df: DataFrame, path: str, row_id: str | None = None) -> None:
     """One workbook of text cells, in row-id order if one is named. Rows stream through the driver, partition by partition; a
-    sheet holds at most 1,048,575 of them, so larger tables are an error: use CSV or Parquet."""
+    sheet holds at most 1,048,575 of them, so larger tables are an error: use ``write_workbooks``, CSV or Parquet."""
     from .workbook import write_sheet
 
     out = df if row_id is None else df.orderBy(row_id).drop(row_id)
     write_sheet(path, out.columns, out.select(*[F.col(f"`{c}`").cast("string") for c in out.columns]).toLocalIterator())
 
 
+def write_workbooks(df: DataFrame, path: str, row_id: str | None = None) -> None:
+    """A folder of workbooks for a table of any size, written by the executors: each has the names and at most 100,000 rows. With a
+    row id, rows are in its order over the files by name, and the id is left out."""
+    from .workbook import write_parts
+
+    spark = df.sparkSession
+    out = df if row_id is None else df.orderBy(row_id).drop(row_id)
+    names = out.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for made in write_parts(names, (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))):
+            yield pa.RecordBatch.from_arrays([pa.array([made.removesuffix(b"\n")], pa.binary())], ["workbook"])
+
+    made = out.select(*[F.col(f"`{c}`").cast("string") for c in names]).mapInArrow(run, "workbook binary")
+    if not _put_workbooks(made, path):  # a table without rows
+        _put_workbooks(spark.createDataFrame([(next(write_parts(names, [])).removesuffix(b"\n"),)], "workbook binary"), path)
+
+
+def _put_workbooks(made: DataFrame, path: str) -> int:
+    """The text writer puts any bytes into a file, and commits what a task has written at once; the line break that it adds is the
+    workbook's own last byte."""
+    made.select(F.col("workbook").cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "none").text(path)
+    spark = made.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, n = where.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for found in fs.listStatus(where):
+        old = found.getPath()
+        if old.getName().endswith(".txt") and found.getLen() == 0:  # what a first partition without rows leaves
+            fs.delete(old, False)
+        elif old.getName().endswith(".txt"):
+            new = spark._jvm.org.apache.hadoop.fs.Path(where, old.getName().removesuffix(".txt") + ".xlsx")
+            if not fs.rename(old, new):
+                raise OSError(f"{old} could not be renamed")
+            n += 1
+    return n
+
+
+def read_workbooks(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """One table of a folder's workbooks as text, read by the executors, a workbook at a time. All have the same names in their first row."""
+    from .workbook import column_name, read_lines
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+
+    def cut(names: list[str] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import pyarrow as pa
+
+            for batch in batches:
+                for file, content in zip(batch.column(0), batch.column(1), strict=True):
+                    lines = read_lines(io.BytesIO(content.as_py()), sheet)
+                    head = next(lines, {})
+                    own = [head.get(k, column_name(k)) for k in range(max(head, default=-1) + 1)]
+                    if names is None:
+                        yield pa.RecordBatch.from_pydict({"names": [own]})
+                        continue
+                    if own != names:
+                        raise ValueError(f"{file}: its columns are {own}, not {names}")
+                    while rows := list(itertools.islice(lines, 10_000)):
+                        if any(max(x, default=0) >= len(names) for x in rows):
+                            raise ValueError(f"{file}: a cell stands beyond the named columns")
+                        yield pa.RecordBatch.from_arrays([pa.array([x.get(k) for x in rows], pa.string()) for k in range(len(names))], names)
+
+        return run
+
+    first = files.select("path", "content").limit(1).mapInArrow(cut(None), "names array<string>").first()
+    if first is None:
+        raise FileNotFoundError(f"{path}: no workbooks")
+    names = list(first["names"])
+    return files.select("path", "content").mapInArrow(cut(names), StructType([StructField(c, StringType()) for c in names]))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, xml of the text files under a path: a row for each file, read by the executors."""
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))

@@ -1,3 +1,4 @@
+import io
 import json
 import os
 
@@ -343,6 +344,45 @@ def test_workbooks(tmp_path, spark):
     assert workbook.read_sheet(path) == (["name", "B", "C"], [("1.5", None, "TRUE")])
 
 
+def test_tables_of_many_workbooks(tmp_path, spark, monkeypatch):
+    """A table of more rows than a sheet holds, as a folder of workbooks; sheets are made small here."""
+    from maskwell.sources import workbook
+
+    monkeypatch.setattr(workbook, "MAX_ROWS", 20)
+    monkeypatch.setattr(workbook, "PART_ROWS", 7)
+    parts = list(workbook.write_parts(["a", "b"], [(str(k), None if k % 3 else "") for k in range(50)]))
+    assert len(parts) == 8 and all(x.endswith(b"\n") for x in parts)
+    got = [workbook.read_sheet(io.BytesIO(x)) for x in parts]
+    assert all(n == ["a", "b"] for n, _ in got) and [r for _, rows in got for r in rows] == [(str(k), None if k % 3 else "") for k in range(50)]
+    assert workbook.read_sheet(io.BytesIO(next(workbook.write_parts(["a"], [])))) == (["a"], [])
+    monkeypatch.setattr(workbook, "PART_XML", 1)
+    assert len(list(workbook.write_parts(["a"], [("x",)] * 5))) == 5
+
+    path = str(tmp_path / "many")
+    df = spark.range(250_000).select(F.col("id"), F.col("id").cast("string").alias("k"), F.when(F.col("id") % 2 == 0, " é<&\r\n> _x0041_ ").alias("b \"c"))
+    tables.write_workbooks(df.coalesce(1), path, "id")
+    names = sorted(x for x in os.listdir(path) if x.endswith(".xlsx"))
+    assert len(names) >= 3 and not any(x.endswith(".txt") for x in os.listdir(path))
+    assert tables.read_xlsx(spark, os.path.join(path, names[0])).first() == ("0", " é<&\r\n> _x0041_ ")
+    back = tables.read_workbooks(spark, path)
+    assert back.columns == ["k", "b \"c"] and back.count() == 250_000 and back.exceptAll(df.drop("id")).count() == 0
+    tables.write_workbooks(df.limit(0), path)
+    assert tables.read_workbooks(spark, path).columns == ["id", "k", "b \"c"] and tables.read_workbooks(spark, path).count() == 0
+    workbook.write_sheet(os.path.join(path, "other.xlsx"), ["id"], [("1",)])
+    with pytest.raises(Exception, match="its columns are"):
+        tables.read_workbooks(spark, path).count()
+
+
+def test_more_rows_than_a_sheet_holds(tmp_path, spark, monkeypatch):
+    """The registered query does not end at a sheet's limit."""
+    from maskwell import queries_review
+    from maskwell.sources import workbook
+
+    monkeypatch.setattr(workbook, "MAX_ROWS", 20)
+    spark.range(50).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert queries_review.xlsx_round_trip(spark, str(tmp_path)).count() == 50
+
+
 def test_feedback_register_and_probe(tmp_path, spark):
     from maskwell.sources import plugins
 
