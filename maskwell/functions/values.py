@@ -70,6 +70,26 @@ def number(value: Column) -> Column:
     return F.trim(value.cast("string")).try_cast("double")
 
 
+def number_text(value: Column) -> Column:
+    """A double as SQL writes it: the fewest of its digits that give it again, plain from 0.0001 to below 10^16, else with an exponent.
+    Of several that do, at 10^17 and more, it may be another than SQL's."""
+    bare = lambda n: F.regexp_replace(F.format_string(f"%.{n - 1}e", value), r"\.?0*e", "e")
+    # 15 digits are always the number's own where they give it again; Java's own text can have one digit too many
+    made = F.when(bare(15).cast("double") == value, bare(15)).when(bare(16).cast("double") == value, bare(16)).otherwise(bare(17))
+
+    def write(made: Column) -> Column:
+        sign, digits = F.regexp_extract(made, "^-?", 0), F.regexp_replace(F.substring_index(made, "e", 1), "[-.]", "")
+        power = F.substring_index(made, "e", -1).cast("int")
+        whole = F.when(power < 0, "0").otherwise(F.rpad(F.substr(digits, F.lit(1), power + 1), power + 1, F.lit("0")))
+        rest = F.when(power < 0, F.concat(F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.substr(digits, power + 2))
+        return F.when(power.between(-4, 15), F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))).otherwise(made)
+
+    odd = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+    text = value.cast("string")
+    plain = ~text.contains("E") & (F.length(text) <= 16)  # at most 15 digits: the number's own
+    return F.when(value.isNotNull(), F.coalesce(odd, F.when(plain, text).otherwise(F.element_at(F.transform(F.array(made), write), 1))))
+
+
 def slug(value: Column) -> Column:
     """A name fit for files."""
     s = F.regexp_replace(F.regexp_replace(value, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")

@@ -295,6 +295,21 @@ def test_audit_logs_hold_every_customer(spark):
     entries.unpersist()
 
 
+def test_kept_balances_are_whole(tmp_path, spark):
+    """Balances of any size and of more than two decimals, against the query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from maskwell import queries
+
+    held = [None, 0.0, -0.0, 4516.95, 4516.954, -999.125, 0.1 + 0.2, 1.005, 1 / 3, 1e-3, 1e-4, 1.25e-5, 1e7, -12345678.9, 1e15, 9999999999999998.0, 1e16, 1.5e300, 5.0 * 10**20, float("nan"), float("inf"), float("-inf")]
+    rows = [(k, f"Customer#{k:09d}", k % 25, v, "X") for k, v in enumerate(held)]
+    path = str(tmp_path / "customer.parquet")
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{path}/*.parquet'")
+    told = con.execute(queries.SQL["policy_projection"]).fetchall()
+    assert sorted(map(tuple, queries.policy_projection(spark, str(tmp_path)).collect())) == sorted(told)
+
+
 def test_columns_named_as_intermediate_ones(spark):
     """Tables may have columns of the names that the treatments use themselves; they pass through unchanged."""
     from maskwell.operators import transform, treatments
