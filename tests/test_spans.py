@@ -173,6 +173,24 @@ def test_supplied_spans_are_redacted_with_the_rules(spark):
     assert got[2]["text"] == "[NAME] here" and got[3]["text"] is None
 
 
+def test_sources_are_given_a_few_texts_at_a_time(spark):
+    """Whatever the size of Arrow's batches, and every text once and whole."""
+    text = F.when(F.col("id") == 77, F.repeat(F.lit("é"), 1_200_000)).otherwise(F.repeat(F.lit("x"), 4000))
+    df = spark.range(0, 2000, 1, 1).select("id", text.alias("a"), F.when(F.col("id") % 2 == 0, "short").alias("b"))
+
+    def told(rows, texts):
+        size = sum(len(t.encode()) for t in texts)
+        return [{"row": r, "start": len(texts), "end": size, "match": t[:1], "type": str(len(t)), "identifier": "other_id", "detector": "d", "confidence": 1, "needs_review": True} for r, t in zip(rows, texts, strict=True)]
+
+    got = plugins.run_source(df, "id", ["a", "b"], told, strict=True).collect()
+    assert sorted((r["row"], r["column"], r["type"]) for r in got) == sorted([(k, "a", "1200000" if k == 77 else "4000") for k in range(2000)] + [(k, "b", "5") for k in range(0, 2000, 2)])
+    assert all(r["start"] <= 512 and (r["end"] <= 1_000_000 or r["start"] == 1) and r["confidence"] == 1.0 and r["needs_review"] and r["reasons"] == "" for r in got)
+
+    many = lambda rows, texts: [{"row": r, "start": k + 1, "end": k + 1, "match": "x", "confidence": 0.5} for r in rows for k in range(25_000)]
+    out = plugins.run_source(df.where("id < 3"), "id", ["a"], many, strict=True)
+    assert out.count() == 75_000 and out.distinct().count() == 75_000 and out.where("type is null and needs_review is false").count() == 75_000
+
+
 def test_sources_around_models(spark):
     import socket
 
